@@ -20,6 +20,7 @@ from corpusloom.llm import tokenizer
 
 #: Items per block; a block is packed by one task.
 BLOCK_ITEMS = 20_000
+MAX_PARTITIONS = 8_192
 #: Capacities that one call may name (they are a parameter list, held on the driver).
 MAX_CAPACITIES = 1_000
 
@@ -52,18 +53,18 @@ def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
+def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str = "n_tokens", items_about: int | None = None) -> DataFrame:
     """Containers for items: (capacity_tokens, container_id, key, piece_no, token_start, n_tokens).
 
     One row per piece; an item that fits has one piece (piece_no 0).  Items of null or no size are left out by definition:
     they take no room.  Repeated rows are separate items.  An empty table gives no rows; other columns are not read.
     Within a block items are placed in descending order of size, equal sizes in order of key, so the result does not
-    depend on how rows are spread over tasks.
+    depend on how rows are spread over tasks.  items_about, the number of rows if it is known, saves counting them.
     """
     if not capacities or len(capacities) > MAX_CAPACITIES or min(capacities) < 1:
         raise ValueError(f"1 to {MAX_CAPACITIES} positive capacities are needed")
     items = sizes.select(F.col(key).alias("_key"), F.col(size).cast("long").alias("_size")).where(F.col(size) > 0)
-    blocks = max(1, -(-sizes.count() // BLOCK_ITEMS))
+    blocks = max(1, -(-(sizes.count() if items_about is None else items_about) // BLOCK_ITEMS))
     kind = sizes.schema[key].dataType.simpleString()
     cap = F.col("capacity_tokens")
     dealt = items.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).withColumn(
@@ -97,6 +98,8 @@ def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str
             }
         )
 
+    # As many partitions as there are groups, up to MAX_PARTITIONS: packing takes time, not bytes, so they are not merged.
+    dealt = dealt.repartition(min(blocks * len(set(capacities)), MAX_PARTITIONS), cap, "_block")
     schema = f"capacity_tokens int, container_id bigint, {key} {kind}, piece_no int, token_start bigint, n_tokens bigint"
     return dealt.groupBy(cap, "_block").applyInPandas(run, schema)
 
@@ -104,7 +107,7 @@ def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str
 def pack_documents(documents: DataFrame, limits: DataFrame, path: str | None = None) -> DataFrame:
     """pack() of documents by their size in tokens, for each capacity of the limits table (at most MAX_CAPACITIES rows)."""
     rows = limits.select("capacity_tokens").where("capacity_tokens > 0").distinct().limit(MAX_CAPACITIES + 1).collect()
-    return pack(tokenizer.sizes(documents, path=path), [r[0] for r in rows])
+    return pack(tokenizer.sizes(documents, path=path), [r[0] for r in rows], items_about=documents.count())
 
 
 def fill(packed: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, percentiles, splitting, tokenizer
+from corpusloom.llm import packing, pairs, percentiles, splitting, tokenizer, truncation
 from corpusloom.session import latest, table
 
 GROUPS = ["model", "profile"]
@@ -46,6 +46,21 @@ def p2_combined(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.from_summary(p2_daily(spark, folder), GROUPS)
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective prompt-response pairs with the kind of their defect."""
+    return pairs.defective(spark, table(spark, folder, "model_results"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Values of both fields that were cut off."""
+    return truncation.truncated(table(spark, folder, "model_results")).select("result_key", "field_name").distinct()
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of cut values per source and field."""
+    return truncation.rates(table(spark, folder, "model_results"))
+
+
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
     return tokenizer.encode(table(spark, folder, "documents"))
@@ -75,6 +90,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p2_combined": p2_combined,
+    "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_rates": p4_rates,
     "p5_ids": p5_ids,
     "p5_round_trip": p5_round_trip,
     "p6_packed": p6_packed,
