@@ -10,8 +10,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a side may have to be broadcast by :func:`small`; at about 100 bytes a row this is a few MB.
-BROADCAST_ROWS = 50_000
+#: Rows that a side may have to be broadcast by :func:`small`; at about 100 bytes a row this is about 2 MB.
+BROADCAST_ROWS = 20_000
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:
