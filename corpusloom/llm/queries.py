@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import packing, pairs, percentiles, splitting, tokenizer, truncation
+from corpusloom.llm import packing, pairs, percentiles, pii, splitting, tokenizer, truncation
 from corpusloom.session import latest, table
 
 GROUPS = ["model", "profile"]
@@ -84,6 +84,16 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return packing.fill(p6_packed(spark, folder))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Occurrences of personal data in all documents."""
+    return pii.find(table(spark, folder, "documents")).select("doc_id", "pii_type", "char_start").distinct()
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with personal data replaced by placeholders."""
+    return pii.redact(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
@@ -97,6 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_round_trip": p5_round_trip,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
 }
 
 _JOBS = "with j as (select distinct job_key, model, profile, duration_ms, queue_wait_ms from dogfood_jobs)"
