@@ -41,7 +41,7 @@ NOT_NAMES = [
 NOT_NUMBERS = [
     "Build {n3}-{n2}-{n4} was archived without notes.", "It replaces ticket {y}-{n3}-{n4}.", "Order {L}{n6} left the depot; serial QQ-{n2} stayed.", "Cached at {n2}.{n1}.{n2}.{n3} port {n4}.", "The ISBN on the box reads 978-{n1}-{n6}-{n2}-{n1}.", "Revision {n8} rejected the feed.",
     "Revision {n10} {V} the list.", "Revision {n7} {V} the feed.", "Revision {n9} {V} the plan.", "Revision {x}{n6} {V} the feed.", "Revision {x}{x}{n6} {V} the plan.", "- Revision {x}{n7} {V} the list.", "Commit {n7} {V} the plan.", "Revision {n8}{x} {V} the plan.", "Revision {n7}{x} {V} the list.", "Hash {x}{x}{n7} and hash {x}{n6} differ.", "hash {n7} and hash {n8}{x} differ.", "Range {n3}-{n4} marks shelf numbers, not a code.", "Range 0{n2}-{n4} marks boxes.", "Bestellung {n6}-{n4} ging ein.", "Commande {n6}-{n4} est partie.", "Pedido {n6}-{n4} salió.", "Order {n6}-{n4} left the depot.", "Ticket {n6}-{n4} was closed.", "The count went from {n7} to {n7} within {n3} seconds.", "The ledger lists {n2} 000 000 bytes and {n3} files.", "Run {n8} ended twice.", "Invoice {n8} was paid.", "Lot {n4}-{n4} was checked.", "Part {n3}-{n4}-{n2} is out of stock.", "Bestellung {L}{n6} ist da.", "Commande {n8} livrée.", "Pedido {n8} entregado.",
-    "Version {n4}.{n3}.{n4} was built.", "The sum was {n3} {n3} {n3} units.", "Serial {L}{L}{n6} is on the plate.", "Batch {n4} {n4} was late.", "Ticket {n9} was closed.", "Los {n3}-{n2}-{n4} wurde archiviert.", "Build {n3} {n2} {n4} passed.", "{n29} is a filler.", "Paket {n10} kam an.", "Case {y}-{n4}-{n3} is open.",
+    "Version {n4}.{n3}.{n4} was built.", "The sum was {n3} {n3} {n3} units.", "Serial {L}{L}{n6} is on the plate.", "Batch {n4} {n4} was late.", "Ticket {n9} was closed.", "Los {n3}-{n2}-{n4} wurde archiviert.", "Build {n3} {n2} {n4} passed.", "Build 9{n2}-{n2}-{n4} {V} twice.", "Build 9{n2}-0{n1}-{n4} was archived without notes.", "Build 9{n2} {n2} {n4} was kept.", "- Revision {x}{x}{n8} {V} it.", "Revision 9{n8} {V} the feed.", "Revision 0{n8} {V} the list.", "Bestellung 0{n4}{n1}-{n4} ging ein.", "Revision {x}{n8} {V} the list.", "{n29} is a filler.", "Paket {n10} kam an.", "Case {y}-{n4}-{n3} is open.",
 ]
 NOT_MAIL = ["Pinned notes@v{n1}.{n2}.{n1} for the pilot.", "Shell prompt was worker@node-{n3} when it hung.", "Follow @harbour_notes for news.", "The decorator @dataclass stays.", "Install pkg@{n1}.{n1}.{n2} first.", "See lib@{n2}.{n1} in the lock file."]
 
@@ -178,13 +178,13 @@ class Maker:
         known: list[str] = []
         for _ in range(r.randint(3, 9)):
             x = r.random()
-            if x < 0.3:
+            if x < 0.22:
                 put(self.plain())
-            elif x < 0.37:
+            elif x < 0.28:
                 put(self.fill(r.choice(NOT_NAMES)))
-            elif x < 0.46:
+            elif x < 0.48:
                 put(self.fill(r.choice(NOT_NUMBERS)))
-            elif x < 0.5:
+            elif x < 0.51:
                 put(self.fill(r.choice(NOT_MAIL)))
             elif x < 0.62:
                 n = self.name() if not known or r.random() < 0.6 else r.choice(known)
