@@ -71,6 +71,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than that, as small test tables do; large inputs have more and
+    are left as they are, so nothing is shuffled there."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def latest(df: DataFrame, key: str, order: str = "ingested_at") -> DataFrame:
     """One row per key, the one delivered last.  Repeated deliveries of a key differ only in the time of delivery, so the
     columns are taken from one of the rows as a whole."""
