@@ -17,7 +17,9 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,11 @@ LABEL = re.compile(r"^[ \t>#*_]*(?:[A-ZÄÖÜÉ][\wÀ-ÿ' ]{0,24}):[*_ \t]*", re
 HEADING = re.compile(r"^[ \t]*#{1,6}[ \t].*$", re.M)
 MARKUP = re.compile(r"<[^<>\n]{0,80}>|```\w*|[​-‏⁠﻿­]|^[ \t]*(?:[-*+•>]|\d+[.)])(?=\s|$)|\[/?\w+\]|\{\{?\w*\}?\}", re.M)
 QUOTED = re.compile(r"„[^“”\n]{1,400}[“”]|“[^”\n]{1,400}”|«[^»\n]{1,400}»|‚[^‘\n]{1,200}‘|(?<![\w\"])\"[^\"\n]{1,400}\"")
+QUOTE = re.compile("[\"„“«‚]")
 WORDS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+OTHER_SCRIPT = re.compile("[\u0370-\u1dff\u2c00-\ud7ff\uf900-\ufdff\U00010000-\U0003ffff]")
 ESCAPED = re.compile(r"\\u[0-9a-fA-F]{4}")
+TASK_END = re.compile(r"\n\s*\n")
 PAIR_STRINGS = re.compile(r'"((?:[^"\\]|\\.)*)"?\s*(:?)')
 
 _OF_WORD: dict[str, int] = {}
@@ -92,26 +97,27 @@ def content(response: str) -> tuple[str, bool]:
                 parts = [a for a, colon in PAIR_STRINGS.findall(body) if not colon]
                 text = "\n".join(parts).replace("\\n", "\n").replace('\\"', '"')
                 return ESCAPED.sub(lambda m: chr(int(m.group()[2:], 16)), text), True
-    return MARKUP.sub(" ", LABEL.sub("", HEADING.sub(lambda m: m.group() if "\n" not in s else "", s))), False
+    if "#" in s and "\n" in s:
+        s = HEADING.sub("", s)
+    if ":" in s:
+        s = LABEL.sub("", s)
+    return MARKUP.sub(" ", s), False
 
 
 def languages(words: list[str]) -> np.ndarray:
     """Frequent words of each language; a word of several languages counts in part for each."""
     n = np.zeros(len(LANGUAGES))
-    get = _OF_WORD.get
-    for w in words:
-        m = get(w)
+    for m, times in Counter(map(_OF_WORD.get, words)).items():
         if m:
-            share = 1.0 / m.bit_count()
             for i in range(len(LANGUAGES)):
                 if m >> i & 1:
-                    n[i] += share
+                    n[i] += times / m.bit_count()
     return n
 
 
 def asked_language(prompt: str) -> int:
     """The language that a prompt asks for or, if it names none, is written in; -1 if unknown."""
-    task = re.split(r"\n\s*\n", prompt, maxsplit=1)[0]
+    task = TASK_END.split(prompt, maxsplit=1)[0]
     for w in reversed(WORDS.findall(task.lower())):
         if w in _NAMED:
             return _NAMED[w]
@@ -121,21 +127,24 @@ def asked_language(prompt: str) -> int:
 
 DENSE = (
     "bias", "null", "no_content", "few_content", "words_1_4", "words_5_12", "words_13_30", "words_31_60", "words_61_150", "words_over_150", "json", "json_broken",
-    "open_stops", "open_plain", "open_alone", "open_json", "continued", "ends_stop", "ends_letter", "ends_dots",
+    "open_stops", "open_plain", "open_alone", "open_json", "continued", "continued_loose", "open_not_continued", "dots_not_continued", "ends_stop", "ends_letter", "ends_dots",
     "in_prompt", "in_prompt_90", "in_prompt_short", "of_task", "of_task_in_prompt", "longer_than_prompt", "language_known", "expected_share", "other_share", "language_gap", "language_other",
     "other_script", "quoted_share", "first_person",
 )
 SIZE = len(DENSE) + HASHED
-_SEEN: dict[str, int] = {}
 
 
-def _hash(w: str) -> int:
-    i = _SEEN.get(w)
-    if i is None:
-        if len(_SEEN) > 500_000:
-            _SEEN.clear()
-        i = _SEEN[w] = zlib.crc32(w.encode("utf-8", "replace"))
-    return i
+class _Hashes(dict):
+    """Word -> hash, kept up to a number of words per Python worker."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        i = self[w] = zlib.crc32(w.encode("utf-8", "replace"))
+        return i
+
+
+_HASHES = _Hashes()
 
 
 def features(prompt: str | None, response: str | None, continued: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -148,10 +157,10 @@ def features(prompt: str | None, response: str | None, continued: bool) -> tuple
         d["null"] = d["no_content"] = 1.0
     else:
         said, is_json = content(response)
-        unquoted = said if is_json else QUOTED.sub(" ", said)
+        unquoted = said if is_json or not QUOTE.search(said) else QUOTED.sub(" ", said)
         words = WORDS.findall(said.lower())
-        own = WORDS.findall(unquoted.lower()) if unquoted is not said else words
-        left = [w for w in words if w not in _PLACE]
+        own = words if unquoted is said else WORDS.findall(unquoted.lower())
+        left = list(filterfalse(_PLACE.__contains__, words))
         n = len(left)
         d["no_content"], d["few_content"] = float(n == 0), float(n <= 3)
         for name, low, high in (("words_1_4", 1, 4), ("words_5_12", 5, 12), ("words_13_30", 13, 30), ("words_31_60", 31, 60), ("words_61_150", 61, 150), ("words_over_150", 151, 10**9)):
@@ -163,15 +172,18 @@ def features(prompt: str | None, response: str | None, continued: bool) -> tuple
         if end:
             d["open_" + end[0]] = 1.0
         d["continued"] = float(continued)
+        d["continued_loose"] = float(continued and bool(end) and end[0] in ("plain", "alone"))
+        d["open_not_continued"] = float(not continued and bool(end))
+        d["dots_not_continued"] = float(not continued and s.endswith(("…", "...")))
         d["ends_stop"] = float(s[-1:] in ".!?。؟")
         d["ends_letter"] = float(s[-1:].isalpha())
         d["ends_dots"] = float(s.endswith(("…", "...")))
         # Overlap with the prompt.
         p_words = WORDS.findall(prompt.lower())
         p_set = set(p_words)
-        task = set(WORDS.findall(re.split(r"\n\s*\n", prompt, maxsplit=1)[0].lower()))
+        task = set(WORDS.findall(TASK_END.split(prompt, maxsplit=1)[0].lower()))
         if left and p_set:
-            inside = sum(w in p_set for w in left) / n
+            inside = sum(map(p_set.__contains__, left)) / n
             d["in_prompt"], d["in_prompt_90"] = inside, float(inside >= 0.8)
             d["in_prompt_short"] = inside if n <= 1.3 * len(p_words) + 4 else 0.0
             d["of_task"] = len(task & set(left)) / len(task) if task else 0.0
@@ -181,11 +193,11 @@ def features(prompt: str | None, response: str | None, continued: bool) -> tuple
         want = asked_language(prompt)
         if want >= 0 and own:
             found = languages(own)
-            foreign = sum(ord(c) > 0x36F for c in unquoted) / max(1, sum(c.isalpha() for c in unquoted))
-            total = found.sum()
+            foreign = 0.0 if unquoted.isascii() else len(OTHER_SCRIPT.findall(unquoted)) / len(unquoted)
+            total = float(found.sum())
             d["other_script"] = float(foreign > 0.5)
             if total > 0:
-                other = np.delete(found, want).max()
+                other = max(x for i, x in enumerate(found.tolist()) if i != want)
                 d["language_known"] = 1.0
                 d["expected_share"], d["other_share"] = found[want] / total, other / total
                 d["language_gap"] = (other - found[want]) / total
@@ -195,7 +207,7 @@ def features(prompt: str | None, response: str | None, continued: bool) -> tuple
         # Hashed n-grams of the whole text: words and pairs, apart for short and long responses.
         if own:
             short = 1 if len(own) <= 40 else 2
-            h = np.fromiter(map(_hash, own), np.int64, len(own))
+            h = np.fromiter(map(_HASHES.__getitem__, own), np.int64, len(own))
             pairs = (h[:-1] * 1000003 + h[1:]) & 0x7FFFFFFF
             grams = (np.concatenate([h, pairs]) * 31 + short) % HASHED
             idx.append(grams + len(DENSE))
@@ -300,6 +312,12 @@ TERSE = {
     "fr": ["Oui, les deux.", "Deux jours de retard.", "Le registre.", "Non.", "Avant vendredi."],
     "es": ["Sí, ambas.", "Dos días tarde.", "El informe.", "No.", "Antes del viernes."],
 }
+CLOSINGS = {
+    "en": ["And so on…", "The list goes on like that...", "More of this follows…", "Et cetera..."],
+    "de": ["Und so weiter…", "Der Rest folgt demselben Muster..."],
+    "fr": ["Et ainsi de suite…", "La suite est du même genre..."],
+    "es": ["Y así sucesivamente…", "El resto sigue igual..."],
+}
 FOREIGN_QUOTE = ["One line reads «{}» and is kept as written. ", "Eine Zeile lautet „{}“ und bleibt so stehen. ", "Une ligne dit « {} » et reste telle quelle. ", "Una línea dice «{}» y queda como está. "]
 EMPTIES = ["", " ", "\n\n", "-", "...", "N/A", "null", "None", "None.", "[]", "{}", '""', "​", "﻿", "<p></p>", "Answer:", "**Answer:**\n", "# Untitled\n\n\n", "```\n```", "```json\n{}\n```", "<think></think>\n", "Keine.", "Aucune.", "Ninguna.", "No open questions.", "TITLE:\nABSTRACT:\nKEY POINTS:\nOPEN QUESTIONS:\nCONFIDENCE:",
            '{"title": null, "abstract": null}', '{"title": "", "abstract": "", "bullets": [], "open_questions": []}', '{"title": "Untitled", "abstract": "", "bullets": [], "open_questions": [], "confidence": "low"}', "TITLE: Untitled\nABSTRACT: None\nKEY POINTS:\n- None\nOPEN QUESTIONS:\n- None\nCONFIDENCE: low", "- \n- \n- ", "| | |\n| --- | --- |", "Summary:\n\n", "N/A\n\n- none", "(no answer)", "TBD"]
@@ -380,7 +398,9 @@ def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
             out.append((p, rng.choice(TOLD[name]) + r, -1))
         elif other < 0.34 and plain:
             out.append((p, re.split(r"\n\s*\n", p, maxsplit=1)[0] + "\n\n" + r, -1))
-        elif other < 0.42 and plain:
+        elif other < 0.4 and plain:
+            out.append((p, r.rstrip() + " " + rng.choice(CLOSINGS[name]), -1))
+        elif other < 0.48 and plain:
             foreign = rng.choice(by_language.get(rng.randrange(4)) or [r])
             sentence = re.split(r"(?<=[.!?])\s", content(foreign)[0].strip())[0][:200]
             out.append((p, FOREIGN_QUOTE[max(want, 0)].format(sentence) + r, -1))
