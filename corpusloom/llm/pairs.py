@@ -2,7 +2,7 @@
 
 A multi-label linear classifier: one linear model per defect over hashed n-grams of the response and features of the pair
 (languages asked for and found, overlap with the prompt, what content is left without labels and markup, how the response
-ends).  It is trained where it runs, on a bounded sample of the pairs (TRAINING_PAIRS): pairs that look sound are kept as
+ends).  It is trained where it runs, on a bounded sample of the pairs (about TRAINING_PAIRS, twice that at most): pairs that look sound are kept as
 they are, and each is also broken on purpose - cut off, replaced by its prompt, swapped with a response in another language,
 emptied, or refused - or varied harmlessly (prompt restated before the answer, a refusal only told of, a terse answer).
 A held-out part sets each model's threshold where the F1 measure is best.
@@ -404,6 +404,8 @@ def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
             foreign = rng.choice(by_language.get(rng.randrange(4)) or [r])
             sentence = re.split(r"(?<=[.!?])\s", content(foreign)[0].strip())[0][:200]
             out.append((p, FOREIGN_QUOTE[max(want, 0)].format(sentence) + r, -1))
+    prompts = [p for p, _ in pairs]
+    out += [(rng.choice(prompts), e, 0) for e in [*EMPTIES, None] * 6 if prompts]
     return out
 
 
@@ -422,8 +424,10 @@ def sound(prompt: str | None, response: str | None) -> bool:
 
 def train(spark: SparkSession, results: DataFrame) -> tuple[Linear, DataFrame]:
     """(the classifier, the keys of raw responses that are continued elsewhere)."""
-    taken = results.where("prompt is not null and raw_response is not null").select("result_key", "prompt", "raw_response").distinct()
-    sample = taken.orderBy(F.xxhash64("result_key"), "result_key").limit(TRAINING_PAIRS).collect()
+    taken = results.where("prompt is not null and raw_response is not null").select("result_key", "prompt", "raw_response")
+    # By the hash of the key, so about TRAINING_PAIRS rows leave the tasks, however many there are.
+    share = F.pmod(F.xxhash64("result_key"), F.lit(max(1, taken.count()))) < TRAINING_PAIRS
+    sample = sorted(taken.where(share).dropDuplicates(["result_key"]).limit(2 * TRAINING_PAIRS).collect())
     pairs = [(r.prompt, r.raw_response) for r in sample if sound(r.prompt, r.raw_response)]
     made = examples(pairs)
     # The examples' ends are joined like those of the corpus; keys below zero are theirs.

@@ -32,7 +32,8 @@ def ordered(c: Column, kind: str) -> Column:
         return F.when(c.cast("long") < _LEAST, F.lit(_LEAST)).otherwise(c.cast("long"))
     # The bits of a positive double are ordered already; those of a negative one are mirrored.
     bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), c.cast("double") + F.lit(0.0)).cast("long")
-    return F.when(bits >= 0, bits).otherwise(-(bits.bitwiseAND(F.lit(2**63 - 1))))
+    # The call takes no null.
+    return F.when(c.isNull(), F.lit(None).cast("long")).when(bits >= 0, bits).otherwise(-(bits.bitwiseAND(F.lit(2**63 - 1))))
 
 
 def original(k: Column, kind: str) -> Column:
