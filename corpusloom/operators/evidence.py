@@ -128,6 +128,8 @@ def merge_items(items: DataFrame, by: Sequence[str], most: int | None = None, or
 
     Needs item_key, kind, text, source_support, rank_score, source (a struct) and the order column.
     """
+    # Two aggregations read the items, so they are parsed once and written.
+    items = cut(items.select(*by, "item_key", "kind", "text", "source_support", "rank_score", "source", order))
     verified = F.col("source_support") == "snippet_verified"
     say = F.struct("text", "source_support", "rank_score")
     merged = items.groupBy(*by, "item_key").agg(

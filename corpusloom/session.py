@@ -78,6 +78,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def distinct_rows(df: DataFrame, key: str) -> DataFrame:
+    """The distinct rows of df, laid out by a key in as many partitions as shuffles have.  The number is explicit, so adaptive
+    execution does not merge the partitions: what follows takes time rather than bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).distinct()
+
+
 def latest(df: DataFrame, key: str, order: str = "ingested_at") -> DataFrame:
     """One row per key, the one delivered last.  Repeated deliveries of a key differ only in the time of delivery, so the
     columns are taken from one of the rows as a whole."""
