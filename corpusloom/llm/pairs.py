@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import truncation
-from corpusloom.session import small
+from corpusloom.session import distinct_rows, small
 
 DEFECTS = ("empty", "truncated", "refusal", "copied_prompt", "other_language")
 #: Pairs that the classifier is trained on, taken by the hash of their keys.
@@ -451,7 +451,7 @@ def defective(spark: SparkSession, results: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "result_key bigint, defect_type string")
     model, ends = train(spark, results)
     weights, thresholds = model.weights, model.thresholds
-    rows = results.select("result_key", "prompt", "raw_response").distinct()
+    rows = distinct_rows(results.select("result_key", "prompt", "raw_response"), "result_key")
     rows = rows.join(small(ends.select("result_key", F.lit(True).alias("continued"))), "result_key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import packing, pairs, percentiles, pii, splitting, tokenizer, truncation
-from corpusloom.session import latest, table
+from corpusloom.session import latest, spread, table
 
 GROUPS = ["model", "profile"]
 MEASURES = ["duration_ms", "queue_wait_ms"]
@@ -16,7 +16,7 @@ MEASURES = ["duration_ms", "queue_wait_ms"]
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks whose text alone exceeds their plan's limit."""
-    return splitting.oversized(table(spark, folder, "text_chunks"), table(spark, folder, "chunk_plans"))
+    return splitting.oversized(spread(table(spark, folder, "text_chunks")), table(spark, folder, "chunk_plans"))
 
 
 def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -63,7 +63,7 @@ def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return tokenizer.encode(table(spark, folder, "documents"))
+    return tokenizer.encode(spread(table(spark, folder, "documents")))
 
 
 def p5_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -76,7 +76,7 @@ def p5_round_trip(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Containers of all documents for each capacity."""
-    return packing.pack_documents(table(spark, folder, "documents"), table(spark, folder, "pack_limits"))
+    return packing.pack_documents(spread(table(spark, folder, "documents")), table(spark, folder, "pack_limits"))
 
 
 def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,12 +86,12 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Occurrences of personal data in all documents."""
-    return pii.find(table(spark, folder, "documents")).select("doc_id", "pii_type", "char_start").distinct()
+    return pii.find(spread(table(spark, folder, "documents"))).select("doc_id", "pii_type", "char_start").distinct()
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """All documents with personal data replaced by placeholders."""
-    return pii.redact(table(spark, folder, "documents"))
+    return pii.redact(spread(table(spark, folder, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

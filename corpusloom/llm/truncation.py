@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, small
+from corpusloom.session import cut, distinct_rows, small
 
 FIELDS = ("raw_response", "markdown")
 #: An end is a cut if at most this share of equal windows end there: in a value whose other units have stops, and otherwise.
@@ -147,7 +147,7 @@ def truncated(results: DataFrame) -> DataFrame:
     Needs result_key bigint, source and the two fields; other columns are not read.  Null, empty and blank values are not
     cut; a null source is a source of its own.  Repeated rows count once; an empty table gives no rows.
     """
-    rows = results.select("result_key", "source", *FIELDS).distinct()
+    rows = distinct_rows(results.select("result_key", "source", *FIELDS), "result_key")
     schema = "result_key bigint, source string, field_name string, length bigint, kind string, context string, word string, ended boolean, n bigint"
     scanned = cut(rows.mapInArrow(_scan, schema))
     ends = scanned.where("field_name is not null").drop("ended", "n")
