@@ -50,13 +50,24 @@ def sections(raw: Column) -> Column:
     return F.aggregate(lines, init, step)["all"]
 
 
-def summary(raw: Column) -> Column:
-    """struct<payload, structured_valid>: a response read as JSON, else as labelled sections, else as plain text whose list
-    items are its bullets."""
-    body = json_body(raw)
-    read = F.from_json(body, "title string, abstract string, bullets array<string>, open_questions array<string>, confidence string")
-    level = lambda c: F.when(F.lower(c).isin("low", "medium", "high"), F.lower(c)).otherwise("medium")
+def with_summary(df: DataFrame, raw: str, name: str = "summary") -> DataFrame:
+    """df with a struct<payload, structured_valid>: a response read as JSON, else as labelled sections, else as plain text whose
+    list items are its bullets.  A null response is read as an empty one.
+
+    The JSON body, the sections and the lines are columns of their own, so each is worked out once a row.
+    """
+    raw_col = F.coalesce(F.col(raw), F.lit(""))
+    df = df.withColumn("_body", json_body(raw_col))
+    df = df.withColumn("_read", F.from_json("_body", "title string, abstract string, bullets array<string>, open_questions array<string>, confidence string"))
+    df = df.withColumn("_parts", F.when(F.col("_body").isNull(), sections(raw_col)))
     empty = F.array().cast("array<string>")
+    by_section = F.transform(
+        F.array(*[F.lit(x) for x in ("title", "abstract", "bullets", "open_questions", "confidence")]),
+        lambda n: F.filter(F.transform(F.filter(F.coalesce("_parts", F.array().cast("array<struct<section:string,line:string>>")), lambda x: x["section"] == n), lambda x: T.strip(x["line"])), lambda x: x != ""),
+    )
+    df = df.withColumn("_by", by_section)
+    df = df.withColumn("_lines", F.when(F.col("_body").isNull() & (F.size("_parts") == 0), F.filter(F.transform(F.split(T.newlines(raw_col), "\n"), T.strip), lambda x: x != "")).otherwise(empty))
+    level = lambda c: F.when(F.lower(c).isin("low", "medium", "high"), F.lower(c)).otherwise("medium")
 
     def payload(title: Column, abstract: Column, bullets: Column, questions: Column, confidence: Column) -> Column:
         return F.struct(
@@ -67,21 +78,16 @@ def summary(raw: Column) -> Column:
             confidence.alias("confidence"),
         )
 
+    read, at = F.col("_read"), lambda i: F.element_at("_by", i)
     as_json = payload(read["title"], read["abstract"], read["bullets"], read["open_questions"], level(F.coalesce(read["confidence"], F.lit("medium"))))
-    parts = sections(raw)
-    of = lambda name: F.transform(F.filter(parts, lambda x: x["section"] == name), lambda x: T.strip(x["line"]))
-    joined = lambda name: F.array_join(F.filter(of(name), lambda x: x != ""), " ")
-    items = lambda name: F.filter(F.transform(of(name), T.bare_item), lambda x: ~T.is_placeholder(x))
-    first_word = F.element_at(F.split(F.concat(joined("confidence"), F.lit(" medium")), " +"), 1)
-    labelled = payload(joined("title"), joined("abstract"), items("bullets"), items("open_questions"), level(F.coalesce(F.nullif(first_word, F.lit("")), F.lit("medium"))))
-    lines = F.filter(F.transform(F.split(T.newlines(raw), "\n"), T.strip), lambda x: x != "")
-    listed = F.transform(F.filter(lines, lambda x: x.rlike(rf"\A(?:[-*]|[0-9]+[.)])[{T.SPACE}]")), T.bare_item)
-    plain = payload(F.lit("Untitled"), F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit("")), listed, empty, F.lit("low"))
-    is_labelled = F.size(parts) > 0
-    return F.struct(
-        F.when(body.isNotNull(), as_json).when(is_labelled, labelled).otherwise(plain).alias("payload"),
-        (body.isNotNull() | is_labelled).alias("structured_valid"),
-    )
+    items = lambda i: F.filter(F.transform(at(i), T.bare_item), lambda x: ~T.is_placeholder(x))
+    first_word = F.element_at(F.split(F.concat(F.array_join(at(5), " "), F.lit(" medium")), " +"), 1)
+    labelled = payload(F.array_join(at(1), " "), F.array_join(at(2), " "), items(3), items(4), level(F.coalesce(F.nullif(first_word, F.lit("")), F.lit("medium"))))
+    listed = F.transform(F.filter("_lines", lambda x: x.rlike(rf"\A(?:[-*]|[0-9]+[.)])[{T.SPACE}]")), T.bare_item)
+    plain = payload(F.lit("Untitled"), F.coalesce(F.try_element_at("_lines", F.lit(1)), F.lit("")), listed, empty, F.lit("low"))
+    has_body, has_parts = F.col("_body").isNotNull(), F.size("_parts") > 0
+    value = F.struct(F.when(has_body, as_json).when(has_parts, labelled).otherwise(plain).alias("payload"), (has_body | has_parts).alias("structured_valid"))
+    return df.withColumn(name, value).drop("_body", "_read", "_parts", "_by", "_lines")
 
 
 def tagged_lines(df: DataFrame, raw: str, preset: str = "research", source: str | None = None, max_chars: int = 240) -> DataFrame:

@@ -87,6 +87,24 @@ def differing(pairs: Sequence[tuple[str, Column, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(~a.eqNullSafe(b), F.lit(name)) for name, a, b in pairs]))
 
 
+def previous(rows: DataFrame, by: Sequence[str], at: str, tie: str, keep: Sequence[str], bucket: Column) -> DataFrame:
+    """rows with `before`, a struct of the `keep` columns of the row before it among equal `by`, in the order of at and tie; null
+    for the first.
+
+    bucket must rise with `at` (a month, say).  Rows look back within their bucket, so no group is gathered in one task; the
+    first of a bucket is given the last row of the bucket before, of which there is one per bucket.
+    """
+    rows = rows.withColumn("_bucket", bucket)
+    row = F.struct(*keep)
+    inside = rows.withColumn("before", F.lag(row).over(Window.partitionBy(*by, "_bucket").orderBy(at, tie)))
+    lasts = rows.groupBy(*by, "_bucket").agg(F.max_by(row, F.struct(at, tie)).alias("_last"))
+    carried = lasts.withColumn("_last", F.lag("_last").over(Window.partitionBy(*by).orderBy("_bucket")))
+    keys = [*by, "_bucket"]
+    carried = carried.select(*[F.col(c).alias("_k_" + c) for c in keys], "_last")
+    joined = inside.join(carried, [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in keys], "left")
+    return joined.withColumn("before", F.coalesce("before", "_last")).drop("_bucket", "_last", *["_k_" + c for c in keys])
+
+
 def setting_changes(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows (on..., setting, before_value, after_value, change) for each setting that was added, removed or changed."""
 

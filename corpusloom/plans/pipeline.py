@@ -85,17 +85,18 @@ def summarize(sources: DataFrame, client: ModelClient, s: Settings = Settings())
     summaries are reduced in generations of batches until one is left.  Every call is a row of calls.
     """
     blank, made = _called(sources, client, s)
-    parsed = made.withColumn("_s", F.when(F.col("error").isNull(), parsing.summary(F.col("response"))))
+    parsed = parsing.with_summary(made, "response", "_s")
     # Snippets: candidates of every chunk, verified in its text, selected over the whole source.
     said = F.transform(F.filter(parsing.sections(F.col("response")), lambda x: x["section"] == "snippets"), lambda x: x["line"])
-    cands = parsed.where("error is null").select("rel_path", "chunk_index", "char_start", "chunk_text", F.posexplode(parsing.snippet_candidates(said)).alias("_i", "_c"))
+    cands = made.where("error is null").select("rel_path", "chunk_index", "char_start", "chunk_text", said.alias("_said"))
+    cands = cands.select("rel_path", "chunk_index", "char_start", "chunk_text", F.posexplode(parsing.snippet_candidates(F.col("_said"))).alias("_i", "_c"))
     cands = cands.select("rel_path", (F.col("chunk_index") * 1000 + F.col("_i")).alias("ord"), F.col("char_start").alias("chunk_start"), "chunk_text", "_c.text", "_c.reason")
-    checked = E.drop_reasons(cands, "chunk_text", ["rel_path"], "ord", s.snippet_chars)
+    checked = cut(E.drop_reasons(cands, "chunk_text", ["rel_path"], "ord", s.snippet_chars))
     good = checked.where("drop_reason is null").withColumn("char_start", F.col("chunk_start") + F.col("char_start"))
     texts = _texts(sources)
     placed = good.join(texts.withColumnRenamed("text", "_source"), "rel_path").withColumn("line_no", T.line_of(F.col("_source"), F.col("char_start"))).drop("_source")
     scored = E.scored(placed, reason="reason")
-    selected = E.select_diverse(scored, ["rel_path"], s.snippets) if s.snippets else scored.limit(0).withColumn("position", F.lit(0))
+    selected = cut(E.select_diverse(scored, ["rel_path"], s.snippets)) if s.snippets else scored.limit(0).withColumn("position", F.lit(0))
     # Reduce.
     level = parsed.select("rel_path", F.col("chunk_index").alias("ord"), F.col("_s.payload").alias("payload"), F.col("_s.structured_valid").alias("ok"), "error")
     level = cut(level)
@@ -119,8 +120,7 @@ def summarize(sources: DataFrame, client: ModelClient, s: Settings = Settings())
         )
         reduced = cut(call(prompts, client, s.attempts))
         calls = calls.unionByName(reduced.select("rel_path", F.lit("reduce").alias("kind"), F.format_string(f"reduce-{generation}-%04d", "ord").alias("chunk_id"), "attempts", "duration_ms", "error"))
-        new = reduced.withColumn("_s", F.when(F.col("error").isNull(), parsing.summary(F.col("response"))))
-        new = new.select("rel_path", "ord", F.col("_s.payload").alias("payload"), F.col("_s.structured_valid").alias("ok"), "error")
+        new = parsing.with_summary(reduced, "response", "_s").select("rel_path", "ord", F.col("_s.payload").alias("payload"), F.col("_s.structured_valid").alias("ok"), "error")
         level = cut(level.join(open_, "rel_path", "left_anti").unionByName(new))
     final = level.groupBy("rel_path").agg(F.min_by("payload", "ord").alias("payload"), F.min_by("ok", "ord").alias("ok"), F.max("error").alias("error"), F.count(F.lit(1)).alias("_left"))
     counted = made.groupBy("rel_path").agg(F.count(F.lit(1)).cast("int").alias("chunks"))

@@ -19,6 +19,7 @@ from corpusloom.operators import history as H
 from corpusloom.operators import packaging as K
 from corpusloom.plans import contracts, model
 from corpusloom.plans import pipeline as P
+from corpusloom.session import distinct_rows as laid_out
 from corpusloom.session import small, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -267,14 +268,14 @@ def q_heading_ancestry(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("doc_id", F.col("h.line").alias("line_no"), held.alias("headings"))
 
 
-@query("""with recursive p as (select distinct result_key, record_key, length(markdown) + 40 as size from model_results where markdown is not null), n as (select *, row_number() over (partition by record_key order by result_key) as i from p),
- rec(record_key, i, k, used) as (select record_key, i, 0, size from n where i = 1 union all select r.record_key, r.i + 1, case when r.used + n.size <= 3000 then r.k else r.k + 1 end, case when r.used + n.size <= 3000 then r.used + n.size else n.size end from rec r join n on n.record_key = r.record_key and n.i = r.i + 1)
- select record_key, k + 1 as batch, count(*) as payloads from rec group by 1, 2""")
+@query("""with recursive p as (select distinct result_key, record_key, job_id, length(markdown) + 40 as size from model_results where markdown is not null), n as (select *, row_number() over (partition by record_key, job_id order by result_key) as i from p),
+ rec(record_key, job_id, i, k, used) as (select record_key, job_id, i, 0, size from n where i = 1 union all select r.record_key, r.job_id, r.i + 1, case when r.used + n.size <= 3000 then r.k else r.k + 1 end, case when r.used + n.size <= 3000 then r.used + n.size else n.size end from rec r join n on n.record_key = r.record_key and n.job_id is not distinct from r.job_id and n.i = r.i + 1)
+ select record_key, job_id, k + 1 as batch, count(*) as payloads from rec group by 1, 2, 3""")
 def q_reduce_batches(spark: SparkSession, folder: str) -> DataFrame:
-    """Payloads of each record in batches for the reduce step."""
-    r = table(spark, folder, "model_results").where("markdown is not null").select("result_key", "record_key", (F.length("markdown") + 40).alias("size")).distinct()
-    packed = r.groupBy("record_key").agg(F.array_sort(F.collect_list(F.struct("result_key", "size"))).alias("p"))
-    return packed.select("record_key", F.explode(C.batches(F.transform("p", lambda x: x["size"]), 3000)).alias("b")).groupBy("record_key", (F.col("b") + 1).alias("batch")).agg(F.count(F.lit(1)).alias("payloads"))
+    """Payloads of each job in batches for the reduce step."""
+    r = table(spark, folder, "model_results").where("markdown is not null").select("result_key", "record_key", "job_id", (F.length("markdown") + 40).alias("size")).distinct()
+    packed = r.groupBy("record_key", "job_id").agg(F.array_sort(F.collect_list(F.struct("result_key", "size"))).alias("p"))
+    return packed.select("record_key", "job_id", F.explode(C.batches(F.transform("p", lambda x: x["size"]), 3000)).alias("b")).groupBy("record_key", "job_id", (F.col("b") + 1).alias("batch")).agg(F.count(F.lit(1)).alias("payloads"))
 
 
 @query()
@@ -425,8 +426,8 @@ def q_attr_map(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def q_summary_parse(spark: SparkSession, folder: str) -> DataFrame:
     """Responses read as JSON, labelled sections or plain text; checked by brute force in the tests."""
-    r = table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response").distinct()
-    d = r.select("result_key", parsing.summary(F.col("raw_response")).alias("s"))
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response"), "result_key")
+    d = parsing.with_summary(r, "raw_response", "s")
     return d.select(
         "result_key", "s.structured_valid", F.col("s.payload.title").alias("title"), md5(F.col("s.payload.abstract")).alias("abstract_md5"),
         F.size("s.payload.bullets").alias("bullets"), F.size("s.payload.open_questions").alias("open_questions"), F.col("s.payload.confidence").alias("confidence"),
@@ -537,15 +538,11 @@ def q_kind_compare(spark: SparkSession, folder: str) -> DataFrame:
  q as (select a.record_key, a.prev, concat_ws(',', """ + ", ".join(f"case when a.{c} is distinct from b.{c} then '{c}' end" for c in ("model", "profile", "run_mode", "schema_version", "status")) + """) as differs from p a join rec b on b.record_key = a.prev) select record_key, prev as base_key, differs from q""")
 def q_comparability(spark: SparkSession, folder: str) -> DataFrame:
     """Settings in which a record differs from the one before it under the same label."""
-    from pyspark.sql import Window
-
     names = ("model", "profile", "run_mode", "schema_version", "status")
     r = distinct_rows(spark, folder, "dogfood_records").where("label is not null")
-    # Records of a label are runs of one name; the row before comes along, so nothing is joined.
-    w = Window.partitionBy("label").orderBy("recorded_at", "record_key")
-    before = r.withColumn("_b", F.lag(F.struct("record_key", *names)).over(w)).where("_b is not null")
-    differs = H.differing([(n, F.col(n), F.col("_b." + n)) for n in names])
-    return before.select("record_key", F.col("_b.record_key").alias("base_key"), F.array_join(differs, ",").alias("differs"))
+    both = H.previous(r, ["label"], "recorded_at", "record_key", ["record_key", *names], F.date_trunc("month", "recorded_at")).where("before is not null")
+    differs = H.differing([(n, F.col(n), F.col("before." + n)) for n in names])
+    return both.select("record_key", F.col("before.record_key").alias("base_key"), F.array_join(differs, ",").alias("differs"))
 
 
 @query(f"""with {_JOBS}, e as (select model, recorded_at as t, 1 as d from j where duration_ms > 0 and duration_ms < 10000000 union all select model, recorded_at + to_milliseconds(duration_ms), -1 from j where duration_ms > 0 and duration_ms < 10000000),
@@ -631,15 +628,15 @@ def q_snippet_pack(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def q_summary_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """Summaries of a source's results bundled under a budget; checked by invariants in the tests."""
-    r = table(spark, folder, "model_results").where("raw_response is not null and source is not null").select("result_key", "source", "raw_response").distinct()
-    items = r.select("result_key", "source", parsing.summary(F.col("raw_response")).alias("s")).select("result_key", "source", "s.payload.*")
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null and source is not null").select("result_key", "source", "raw_response"), "result_key")
+    items = parsing.with_summary(r, "raw_response", "s").select("result_key", "source", "s.payload.*")
     return K.bundles(items, ["source"], "result_key", most=20, max_chars=6000)
 
 
 @query()
 def q_contracts(spark: SparkSession, folder: str) -> DataFrame:
     """JSON responses checked against the contract of a summary: errors with their paths, per kind."""
-    r = table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response").distinct()
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response"), "result_key")
     checked = r.select("result_key", contracts.violations(parsing.json_body(F.col("raw_response")), contracts.SUMMARY).alias("e"))
     return checked.select(F.explode_outer("e").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("results"))
 
@@ -648,6 +645,6 @@ def q_contracts(spark: SparkSession, folder: str) -> DataFrame:
 def q_pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
     """A whole summarize run over all documents with the extractive stand-in for a model: jobs with status, chunks, verified
     and selected snippets."""
-    sources = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.col("text").alias("content"))
+    sources = spread(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.col("text").alias("content")))
     run = P.summarize(sources, model.ExtractiveStub(), P.Settings(chunk_chars=4000, overlap_chars=200))
     return run.jobs.select("rel_path", "status", "chunks", "verified", "selected", "title")

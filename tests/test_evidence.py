@@ -95,7 +95,7 @@ def test_summary(spark):
         "",
     ]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i int, raw string")
-    got = [r.s for r in df.select("i", parsing.summary(F.col("raw")).alias("s")).orderBy("i").collect()]
+    got = [r.s for r in parsing.with_summary(df, "raw", "s").orderBy("i").collect()]
     assert [g.structured_valid for g in got] == [True, True, False, False, False]
     assert (got[0].payload.title, got[0].payload.bullets, got[0].payload.confidence) == ("T", ["x", "y"], "high")
     assert (got[1].payload.title, got[1].payload.abstract, got[1].payload.bullets, got[1].payload.open_questions, got[1].payload.confidence) == ("My title", "one two", ["a", "b"], [], "low")

@@ -38,6 +38,18 @@ def test_concurrency(spark):
         assert got[g] == max(sum(s <= t < e for _, s, e in mine) for _, t, _ in mine)
 
 
+def test_previous(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(0, 400) * 86_400, i) for i in range(200)]
+    df = spark.createDataFrame(rows, "g string, s long, k int").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.k: r.before.k if r.before else None for r in H.previous(df, ["g"], "at", "k", ["k"], F.date_trunc("month", "at")).collect()}
+    want = {}
+    for g in ("a", "b", None):
+        mine = sorted((s, k) for x, s, k in rows if x == g)
+        want |= {k: mine[i - 1][1] if i else None for i, (_, k) in enumerate(mine)}
+    assert got == want
+
+
 def test_setting_changes(spark):
     a = spark.createDataFrame([(1, "x", "y", None)], "id int, p string, q string, r string")
     b = spark.createDataFrame([(1, "x", "z", "new"), (2, "x", None, None)], "id int, p string, q string, r string")
