@@ -261,12 +261,17 @@ class Linear:
             f1 = 2 * hits / (np.arange(1, len(order) + 1) + max(1, truth[:, k].sum()))
             best = int(f1.argmax())
             low = scored[order[best + 1], k] if best + 1 < len(order) else scored[order[best], k] - 1
-            thresholds[k] = (scored[order[best], k] + low) / 2
+            # Never above even odds: made pairs are told apart more easily than real ones.
+            thresholds[k] = min((scored[order[best], k] + low) / 2, 0.0)
         return cls(weights.astype(np.float32), thresholds)
 
     def defects(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[str | None]:
         """The defect that passes its threshold by most, or None."""
         over = self.scores(self.weights, rows) - self.thresholds
+        # An exact check: another language can only be where more frequent words are of it than of the one asked for.
+        gap = DENSE.index("language_gap")
+        right = np.array([not (v[i == gap] > 0).any() and (i == DENSE.index("language_known")).any() for i, v in rows])
+        over[right, DEFECTS.index("other_language")] = -np.inf
         best = over.argmax(axis=1)
         return [DEFECTS[k] if over[i, k] > 0 else None for i, k in enumerate(best)]
 
@@ -277,27 +282,27 @@ REFUSALS = {
         ["", "", "I'm sorry, but ", "Sorry, ", "Unfortunately, ", "I apologize, but ", "Hello! ", "I’m sorry, "],
         ["I can't {}", "I cannot {}", "I am unable to {}", "I won't be able to {}", "I must decline to {}", "I would rather not {}", "I'd rather not {}", "I am not able to {}", "it would not be appropriate for me to {}",
          "my instructions do not allow me to {}", "I have to pass on this one and will not {}", "as a language model, I cannot {}", "I do not feel comfortable to {}", "I refuse to {}", "I will not {}", "there will be no answer from me here",
-         "that is not something this worker will do", "this material is off limits for me", "request declined", "I will skip this one", "I decline this task", "this request is denied", "nothing is coming from me on this topic"],
+         "that is not something this worker will do", "this material is off limits for me", "request declined", "I don't feel at ease being asked to {}, so I will leave it", "there is no answer to this file from me", "I will skip this one", "I decline this task", "this request is denied", "nothing is coming from me on this topic"],
         ["process this text", "process the excerpt", "help with this request", "assist with that", "answer that question", "summarize this document", "rewrite the note", "extract these items", "comment on this material", "produce the list"],
-        ["", "", "", " at this time", ", as this goes against my guidelines", " since the content could be private", " without permission from its author", ". Please consult a qualified professional", ". Is there something else I can do for you?"],
+        ["", "", "", " at this time", ", as this goes against my guidelines", " since the content could be private", " without permission from its author", ". Please consult a qualified professional", ". Is there something else I can do for you?", ". I hope you understand, and I am happy to help with another text", ". You may want to ask the owner of the text", ". Please contact the author instead. I hope that is fine"],
     ),
     "de": (
         ["", "", "Es tut mir leid, aber ", "Leider ", "Entschuldigung, "],
-        ["ich kann {}", "kann ich {}", "als Sprachmodell kann ich {}", "ich möchte {}", "diese Anfrage wird abgelehnt", "dazu gebe ich keine Auskunft", "ich darf {}", "das gehört nicht zu meinen Aufgaben", "Anfrage abgelehnt"],
+        ["ich kann {}", "kann ich {}", "als Sprachmodell kann ich {}", "ich möchte {}", "diese Anfrage wird abgelehnt", "dazu gebe ich keine Auskunft", "ich darf {}", "das gehört nicht zu meinen Aufgaben", "Anfrage abgelehnt", "zu dieser Datei gibt es von mir keine Antwort", "von mir kommt dazu nichts"],
         ["diese Anfrage nicht beantworten", "dabei nicht helfen", "den Text nicht zusammenfassen", "dazu keine Auskunft geben", "den Auszug nicht verarbeiten", "diesen Inhalt nicht bearbeiten"],
-        ["", "", ", da der Inhalt privat sein könnte", ". Bitte wenden Sie sich an eine Fachperson", ". Kann ich sonst etwas tun?"],
+        ["", "", ", da der Inhalt privat sein könnte", ". Bitte wenden Sie sich an eine Fachperson", ". Kann ich sonst etwas tun?", ". Ich hoffe auf Ihr Verständnis und helfe gern bei einem anderen Text", ". Gern sehe ich mir etwas anderes an", ". Fragen Sie am besten den Verfasser"],
     ),
     "fr": (
         ["", "", "Je suis désolé, mais ", "Désolé, ", "Malheureusement, "],
         ["je ne peux pas {}", "je préfère ne pas {}", "en tant que modèle de langage, je ne peux pas {}", "il ne m'est pas possible de {}", "je refuse de {}", "demande refusée", "ce sujet dépasse mon rôle", "aucune réponse ne sera donnée ici"],
         ["répondre à cette demande", "résumer ce document", "traiter cet extrait", "vous aider sur ce point", "commenter ce contenu"],
-        ["", "", ", car le contenu pourrait être privé", ". Veuillez consulter un professionnel", ". Puis-je faire autre chose ?"],
+        ["", "", ", car le contenu pourrait être privé", ". Veuillez consulter un professionnel", ". Puis-je faire autre chose ?", ". J'espère que vous comprenez, et je lirai volontiers un autre texte", ". Adressez-vous plutôt à son auteur"],
     ),
     "es": (
         ["", "", "Lo siento, pero ", "Lamentablemente ", "Disculpe, "],
         ["no puedo {}", "prefiero no {}", "no me es posible {}", "como modelo de lenguaje, no puedo {}", "me niego a {}", "solicitud rechazada", "no se dará ningún resumen de este archivo", "este tema queda fuera de mi función"],
         ["responder a esta solicitud", "resumir este documento", "procesar el extracto", "ayudar con eso", "comentar este contenido"],
-        ["", "", ", porque el contenido puede ser privado", ". Consulte a un profesional", ". ¿Puedo hacer otra cosa?"],
+        ["", "", ", porque el contenido puede ser privado", ". Consulte a un profesional", ". ¿Puedo hacer otra cosa?", ". Espero que lo entienda, y con gusto miro otro texto", ". Puede preguntar a su autor"],
     ),
 }
 TOLD = {
@@ -357,6 +362,16 @@ def copied(rng: random.Random, prompt: str) -> str:
     return s
 
 
+def cut_off(rng: random.Random, response: str) -> str:
+    """A response cut inside a word or sentence, perhaps with a mark after the cut."""
+    at = len(response)
+    for _ in range(12):
+        at = rng.randrange(min(20, len(response) - 1), len(response))
+        if response[at - 1].isalnum() and (response[at].isalnum() or response[at] == " "):
+            break
+    return response[:at].rstrip() + rng.choice(["", "", "", "…", "...", "\n"])
+
+
 def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
     """(prompt, response, defect number or -1) made of sound pairs."""
     rng = random.Random(SEED)
@@ -370,13 +385,11 @@ def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
         name = LANGUAGES[want] if want >= 0 else "en"
         out.append((p, r, -1))
         kind = rng.random()
+        end = truncation.open_end(r)
+        if kind < 0.35 or (end and end[0] in ("plain", "alone")):  # lists without stops are cut each time, as they are hardest to tell
+            out.append((p, cut_off(rng, r), 1))
         if kind < 0.35:
-            at = rng.randrange(min(20, len(r) - 1), len(r))
-            for _ in range(12):  # not where a sentence or line ends
-                if at >= len(r) or r[at - 1].isalnum() and (r[at].isalnum() or r[at : at + 1] == " "):
-                    break
-                at = rng.randrange(min(20, len(r) - 1), len(r))
-            out.append((p, r[:at].rstrip() + rng.choice(["", "", "", "…", "...", "\n"]), 1))
+            pass
         elif kind < 0.5:
             others = [v for k, v in by_language.items() if k != want and v]
             if others:
@@ -390,6 +403,8 @@ def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
             out.append((p, copied(rng, p), 3))
         elif kind < 0.88:
             out.append((p, rng.choice([*EMPTIES, None]), 0))
+        if rng.random() < 0.12:
+            out.append((p, refusal(rng, name), 2))
         plain = content(r)[1] is False
         other = rng.random()
         if other < 0.12:
