@@ -9,7 +9,7 @@ ends are joined to these entries on the two, so the join is an equality and make
 An end is asked about only if it is open: without a full stop or a closing sign, apart from marks that a source puts
 after a cut.  Two things in the value itself count as well: JSON that is never closed, and whether its other sentences or
 list items end with a stop.  A last step uses field limits: an open value of exactly the length at which its source cut
-several others was cut too.
+others was cut too, if that length has more cut values than the lengths around it explain.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.session import cut, distinct_rows, small
@@ -27,8 +27,11 @@ from corpusloom.session import cut, distinct_rows, small
 FIELDS = ("raw_response", "markdown")
 #: An end is a cut if at most this share of equal windows end there: in a value whose other units have stops, and otherwise.
 END_SHARE_STOPS, END_SHARE_OPEN = 0.95, 0.2
-#: Cut values of one source, field and length from which that length is the field's limit.
+#: Cut values of one source, field and length from which that length can be the field's limit.
 LIMIT_COPIES = 3
+#: Lengths at each side that tell how many cut values a length has by chance; the probability that a source and field gets any
+#: limit by chance; and the least share of a limit's open values that are there beyond what the lengths around it have.
+LIMIT_NEAR, LIMIT_CHANCE, LIMIT_SHARE = 25, 0.01, 0.5
 #: Distinct windows that a Python worker holds before it hands them on (memory bound; sums do not change).
 WINDOWS_HELD = 300_000
 #: Prefixes of a word up to this length are entered; longer ends are joined by the word's first characters of that length.
@@ -141,6 +144,26 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield hand_on()
 
 
+def _limits(ends: DataFrame) -> DataFrame:
+    """Field limits (s, f, l) of open ends (source, field_name, length, is_cut).
+
+    What a length has by chance is told by the lengths around it, so the rule is alike at every size: the bound on the
+    Poisson tail of its cut values, times the lengths tried, is at most LIMIT_CHANCE.
+    """
+    n = ends.groupBy("source", "field_name", "length").agg(F.sum(F.col("is_cut").cast("long")).alias("copies"), F.count(F.lit(1)).alias("opened"))
+    all_lengths = Window.partitionBy("source", "field_name")
+    near = all_lengths.orderBy("length").rangeBetween(-LIMIT_NEAR, LIMIT_NEAR)
+    lengths = LIMIT_NEAR + F.least(F.lit(LIMIT_NEAR), F.col("length") - 1)
+    n = n.select(
+        "*", F.sum(F.when(F.col("copies") > 0, 1).otherwise(0)).over(all_lengths).alias("tried"),
+        ((F.sum("copies").over(near) - F.col("copies") + 1) / lengths).alias("chance"), ((F.sum("opened").over(near) - F.col("opened") + 1) / lengths).alias("usual"),
+    )
+    copies, chance = F.col("copies"), F.col("chance")
+    stands_out = (copies > chance) & (copies * F.log(copies / chance) - copies + chance >= F.log(F.col("tried") / LIMIT_CHANCE))
+    n = n.where((copies >= LIMIT_COPIES) & stands_out & (F.col("opened") - F.col("usual") >= LIMIT_SHARE * F.col("opened")))
+    return n.select(F.col("source").alias("s"), F.col("field_name").alias("f"), F.col("length").alias("l"))
+
+
 def truncated(results: DataFrame) -> DataFrame:
     """Cut values: (result_key, source, field_name), each once.
 
@@ -178,9 +201,8 @@ def truncated(results: DataFrame) -> DataFrame:
     share = F.when(known, ends_n / (ends_n + longer)).when(ends_any + longer_any > 0, ends_any / (ends_any + longer_any))
     most = F.when(F.col("kind") == "stops", END_SHARE_STOPS).otherwise(END_SHARE_OPEN)
     judged = judged.withColumn("share", share).withColumn("is_cut", F.coalesce(share <= most, F.col("kind") == "stops"))
-    limits = judged.where("is_cut").select("source", "field_name", "length").unionByName(sure.select("source", "field_name", "length"))
-    limits = limits.groupBy("source", "field_name", "length").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") >= LIMIT_COPIES)
-    limits = limits.select(F.col("source").alias("s"), F.col("field_name").alias("f"), F.col("length").alias("l"))
+    tested = ["source", "field_name", "length", "is_cut"]
+    limits = _limits(judged.select(tested).unionByName(sure.withColumn("is_cut", F.lit(True)).select(tested)))
     at_limit = judged.where(~F.col("is_cut")).join(
         small(limits), F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("length") == F.col("l")), "left_semi"
     )

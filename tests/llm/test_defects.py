@@ -121,3 +121,24 @@ def test_a_source_with_a_field_limit(spark):
     df = spark.createDataFrame(rows, "result_key bigint, source string, raw_response string, markdown string")
     got = {r.result_key for r in truncation.truncated(df).collect()}
     assert len(got & {k for k in range(0, 300, 3)}) >= 95 and not [k for k in got if k % 3]
+
+
+def test_chance_lengths_are_no_limits(spark):
+    """Cut lengths that meet by chance, as they do in a large source, are no limit; a pile on one length is."""
+    rng = random.Random(31)
+    rows, cuts = [], set()
+    for key in range(3000):
+        value = "\n".join("- " + sentence(rng)[:-1] for _ in range(rng.randrange(3, 8)))
+        if key % 3 == 0:
+            at = 330 if key % 30 == 0 and len(value) > 330 else rng.randrange(len(value) // 2, len(value) - 8)
+            while at != 330 and not (value[at - 1].isalpha() and value[at].isalpha()):
+                at -= 1
+            value = value[:at]
+            cuts.add(key)
+        rows.append((key, "hot", value, None))
+    df = spark.createDataFrame(rows, "result_key bigint, source string, raw_response string, markdown string")
+    got = {r.result_key for r in truncation.truncated(df).collect()}
+    assert len(got - cuts) <= 0.02 * len(got), (len(got - cuts), len(got))
+    assert len(got & cuts) >= 0.9 * len(cuts), (len(got & cuts), len(cuts))
+    piled = {k for k, _, v, _ in rows if len(v) == 330 and k in cuts}
+    assert len(piled) > 30 and len(got & piled) >= 0.98 * len(piled), (len(got & piled), len(piled))
