@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.session import cut, distinct_rows, small
+from corpusloom.session import cut, small
 
 FIELDS = ("raw_response", "markdown")
 #: An end is a cut if at most this share of equal windows end there: in a value whose other units have stops, and otherwise.
@@ -97,10 +97,11 @@ def open_end(value: str) -> tuple[str, str, str] | None:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (result_key, source, fields...): the windows of their values, counted, and their open ends."""
+    """Of distinct values (id, value): a row per value with its end (kind, context, word of an open end; end_context, end_word
+    of the window there), and rows without an id with the windows inside values, counted (n)."""
     schema = pa.schema(
-        [("result_key", pa.int64()), ("source", pa.string()), ("field_name", pa.string()), ("length", pa.int64()), ("kind", pa.string()),
-         ("context", pa.string()), ("word", pa.string()), ("ended", pa.bool_()), ("n", pa.int64())]
+        [("id", pa.string()), ("length", pa.int64()), ("kind", pa.string()), ("context", pa.string()), ("word", pa.string()),
+         ("end_context", pa.string()), ("end_word", pa.string()), ("ended", pa.bool_()), ("n", pa.int64())]
     )
     held: Counter = Counter()
 
@@ -112,27 +113,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[(_context(a), w, b[-1] == _NEWLINE or bool(_STOP.search(b)))] += n
         held.clear()
         k = list(out)
-        none = pa.nulls(len(k))
+        none = pa.nulls(len(k), pa.string())
         return pa.RecordBatch.from_arrays(
-            [none.cast(pa.int64()), none.cast(pa.string()), none.cast(pa.string()), none.cast(pa.int64()), none.cast(pa.string()),
-             pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), pa.array([x[2] for x in k], pa.bool_()), pa.array([out[x] for x in k], pa.int64())],
+            [none, none.cast(pa.int64()), none, pa.array([x[0] for x in k], pa.string()), pa.array([x[1] for x in k], pa.string()), none, none,
+             pa.array([x[2] for x in k], pa.bool_()), pa.array([out[x] for x in k], pa.int64())],
             schema=schema,
         )
 
     for batch in batches:
-        keys, sources, *fields = (c.to_pylist() for c in batch.columns)
         ends = []
-        for name, values in zip(FIELDS, fields, strict=True):
-            for key, source, value in zip(keys, sources, values, strict=True):
-                if not value:
-                    continue
-                words = value.replace("\n", _NEWLINE + " ").split()
-                if words:
-                    words[-1] += _NEWLINE  # a value's own end counts as an end, once
-                    held.update(zip(["", *words], words))
-                found = open_end(value)
-                if found:
-                    ends.append((key, source, name, len(value), *found))
+        for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = value.replace("\n", _NEWLINE + " ").split()
+            if words:
+                held.update(zip(["", *words], words[:-1]))
+                w = _word(words[-1])
+                end = (_context(words[-2] if len(words) > 1 else ""), w) if w else (None, None)
+                ends.append((key, len(value), *(open_end(value) or (None, None, None)), *end))
         if ends:
             none = pa.nulls(len(ends))
             cols = list(zip(*ends, strict=True))
@@ -164,19 +160,42 @@ def _limits(ends: DataFrame) -> DataFrame:
     return n.select(F.col("source").alias("s"), F.col("field_name").alias("f"), F.col("length").alias("l"))
 
 
+def _ends_apart(results: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
+    """How many values that vouch for themselves end in each asked window: (context, prefix, apart), context * for any.
+
+    own has the windows at the ends of distinct values (id, context, word).  A markdown that ends like a raw response of its
+    result is the same end and counts with that raw response.
+    """
+    raw, markdown = (F.md5(f) for f in FIELDS)
+    own = own.withColumn("prefix", F.substring("word", 1, LONGEST_PREFIX))
+    own = cut(own.join(small(asked.select("prefix").distinct()), "prefix", "left_semi").select("id", "context", "prefix"))
+    pairs = results.select(raw.alias("raw"), markdown.alias("id")).where("raw is not null and id is not null and raw != id").distinct()
+    ends = own.select(F.col("id").alias("raw"), F.col("context").alias("c"), F.col("prefix").alias("p"))
+    same = pairs.join(own, "id").join(ends, "raw").where("context = c and prefix = p").groupBy("id").agg(F.min("raw").alias("raw"))
+    own = own.join(same, "id", "left").select("context", "prefix", F.coalesce("raw", "id").alias("id")).distinct()
+    return own.unionByName(own.select(F.lit("*").alias("context"), "prefix", "id").distinct()).groupBy("context", "prefix").agg(F.count(F.lit(1)).alias("apart"))
+
+
 def truncated(results: DataFrame) -> DataFrame:
     """Cut values: (result_key, source, field_name), each once.
 
     Needs result_key bigint, source and the two fields; other columns are not read.  Null, empty and blank values are not
-    cut; a null source is a source of its own.  Repeated rows count once; an empty table gives no rows.
+    cut; a null source is a source of its own.  Repeated rows count once; an empty table gives no rows.  Equal values, under
+    whatever keys and fields, are one value: it is scanned, counted and judged once, and the verdict goes to all its rows.
     """
-    rows = distinct_rows(results.select("result_key", "source", *FIELDS), "result_key")
-    schema = "result_key bigint, source string, field_name string, length bigint, kind string, context string, word string, ended boolean, n bigint"
-    scanned = cut(rows.mapInArrow(_scan, schema))
-    ends = scanned.where("field_name is not null").drop("ended", "n")
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("_v")
+    values = results.select(fields).select("_v.value").where("value != ''").distinct()
+    # A group of copies shrinks in the tasks that read it; the number of partitions is explicit as in distinct_rows.
+    values = values.select(F.md5("value").alias("id"), "value").repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    schema = "id string, length bigint, kind string, context string, word string, end_context string, end_word string, ended boolean, n bigint"
+    scanned = cut(values.mapInArrow(_scan, schema))
+    ends = scanned.where("kind is not null").drop("ended", "n")
     sure = ends.where("kind = 'json'")
     asked = ends.where("kind != 'json'").withColumn("prefix", F.substring("word", 1, LONGEST_PREFIX))
-    windows = scanned.where("field_name is null").groupBy("context", "word", "ended").agg(F.sum("n").alias("n"))
+    own = scanned.where("end_word is not null").select("id", F.col("end_context").alias("context"), F.col("end_word").alias("word"))
+    windows = scanned.where("id is null").groupBy("context", "word", "ended").agg(F.sum("n").alias("n"))
+    # The windows at the values' ends, without ended: they go on longer than a prefix, but as ends they are counted below.
+    windows = windows.unionByName(own.groupBy("context", "word").agg(F.lit(None).cast("boolean").alias("ended"), F.count(F.lit(1)).alias("n")))
     every = windows.groupBy(F.lit("*").alias("context"), "word", "ended").agg(F.sum("n").alias("n"))
     entries = (
         windows.unionByName(every)
@@ -184,30 +203,39 @@ def truncated(results: DataFrame) -> DataFrame:
         .withColumn("prefix", F.substring("word", 1, F.col("length")))
     )
     needles = asked.select("context", "prefix").union(asked.select(F.lit("*"), "prefix")).distinct()
-    stops = F.col("ended") & ((F.col("word") == F.col("prefix")) | (F.length("prefix") == LONGEST_PREFIX))
+    whole = (F.col("word") == F.col("prefix")) | (F.length("prefix") == LONGEST_PREFIX)
+    stops = F.coalesce("ended", F.lit(True)) & whole
     counts = entries.join(small(needles), ["context", "prefix"], "left_semi").groupBy("context", "prefix").agg(
-        F.sum(F.when(stops, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(stops, 0).otherwise(F.col("n"))).alias("longer")
+        F.sum(F.when(F.col("ended") & whole, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(stops, 0).otherwise(F.col("n"))).alias("longer")
     )
-    counts = cut(counts)
+    counts = counts.join(_ends_apart(results, own, asked), ["context", "prefix"], "left")
+    counts = cut(counts.select("context", "prefix", (F.col("ends") + F.coalesce("apart", F.lit(0))).alias("ends"), "longer"))
     near = counts.where("context != '*'")
     anywhere = counts.where("context = '*'").select("prefix", F.col("ends").alias("ends_any"), F.col("longer").alias("longer_any"))
     judged = asked.join(small(near), ["context", "prefix"], "left").join(small(anywhere), "prefix", "left")
-    # An end counts itself once.
-    ends_n = F.greatest(F.coalesce("ends", F.lit(0)) - 1, F.lit(0))
+    # An end counts itself once, unless a mark after it makes the value end in another window.
+    itself = (F.substring("end_word", 1, LONGEST_PREFIX) == F.col("prefix")).cast("int")
+    itself_near = F.coalesce(itself * (F.col("end_context") == F.col("context")).cast("int"), F.lit(0))
+    ends_n = F.greatest(F.coalesce("ends", F.lit(0)) - itself_near, F.lit(0))
     longer = F.coalesce("longer", F.lit(0))
-    ends_any = F.greatest(F.coalesce("ends_any", F.lit(0)) - 1, F.lit(0))
+    ends_any = F.greatest(F.coalesce("ends_any", F.lit(0)) - F.coalesce(itself, F.lit(0)), F.lit(0))
     longer_any = F.coalesce("longer_any", F.lit(0))
     known = ends_n + longer >= 2
-    share = F.when(known, ends_n / (ends_n + longer)).when(ends_any + longer_any > 0, ends_any / (ends_any + longer_any))
+    # Where numbers stand elsewhere tells nothing on a short answer that is one ("n = 17").
+    answer = (F.col("word") == "#") & (F.col("kind") == "alone")
+    share = F.when(known, ends_n / (ends_n + longer)).when((ends_any + longer_any > 0) & ~answer, ends_any / (ends_any + longer_any))
     most = F.when(F.col("kind") == "stops", END_SHARE_STOPS).otherwise(END_SHARE_OPEN)
-    judged = judged.withColumn("share", share).withColumn("is_cut", F.coalesce(share <= most, F.col("kind") == "stops"))
-    tested = ["source", "field_name", "length", "is_cut"]
-    limits = _limits(judged.select(tested).unionByName(sure.withColumn("is_cut", F.lit(True)).select(tested)))
-    at_limit = judged.where(~F.col("is_cut")).join(
+    verdict = judged.select("id", "length", F.coalesce(share <= most, F.col("kind") == "stops").alias("is_cut"))
+    verdict = cut(verdict.unionByName(sure.select("id", "length", F.lit(True).alias("is_cut"))))
+    ids = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.md5(f).alias("id")) for f in FIELDS])).alias("_v")
+    rows = results.select("result_key", "source", ids).select("result_key", "source", "_v.*").join(small(verdict), "id")
+    rows = cut(rows)
+    limits = _limits(rows.select("source", "field_name", "length", "id", "is_cut").distinct())
+    at_limit = rows.where(~F.col("is_cut")).join(
         small(limits), F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("length") == F.col("l")), "left_semi"
     )
     keep = ["result_key", "source", "field_name"]
-    return sure.select(keep).unionByName(judged.where("is_cut").select(keep)).unionByName(at_limit.select(keep)).distinct()
+    return rows.where("is_cut").select(keep).unionByName(at_limit.select(keep)).distinct()
 
 
 def rates(results: DataFrame) -> DataFrame:

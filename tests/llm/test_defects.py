@@ -142,3 +142,17 @@ def test_chance_lengths_are_no_limits(spark):
     assert len(got & cuts) >= 0.9 * len(cuts), (len(got & cuts), len(cuts))
     piled = {k for k, _, v, _ in rows if len(v) == 330 and k in cuts}
     assert len(piled) > 30 and len(got & piled) >= 0.98 * len(piled), (len(got & piled), len(piled))
+
+
+def test_copies_of_a_cut_value_do_not_vouch_for_each_other(spark):
+    """A third of all rows are copies of one cut value, its markdown cut at the same place."""
+    rng = random.Random(37)
+    rows = [(key, "a", " ".join(sentence(rng) for _ in range(5)), None) for key in range(400)]
+    rows += [(500 + i, "a", sentence(rng) + " The potter glazed a cranberry bowl " + rng.choice(ENDS) + ".", None) for i in range(5)]
+    value = " ".join(sentence(rng) for _ in range(3)) + " The potter glazed a cran"
+    rows += [(1000 + i, f"s{i % 7}", value, "# Response\n\n" + value) for i in range(200)]
+    rows += [(2000 + i, "a", "n = 17", "# Response\n\nn = 17") for i in range(20)]
+    rows += [(3000 + i, "a", f"It has {i} rows and more of them.", None) for i in range(20)]
+    df = spark.createDataFrame(rows, "result_key bigint, source string, raw_response string, markdown string")
+    got = {(r.result_key, r.field_name) for r in truncation.truncated(df).collect()}
+    assert got == {(1000 + i, f) for i in range(200) for f in truncation.FIELDS}
