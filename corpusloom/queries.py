@@ -548,9 +548,14 @@ def q_comparability(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"""with {_JOBS}, e as (select model, recorded_at as t, 1 as d from j where duration_ms > 0 and duration_ms < 10000000 union all select model, recorded_at + to_milliseconds(duration_ms), -1 from j where duration_ms > 0 and duration_ms < 10000000),
  m as (select model, t, sum(d) as d from e group by all), s as (select model, sum(d) over (partition by model order by t) as n_open from m) select model, greatest(max(n_open), 0)::bigint as peak from s group by 1""")
 def q_concurrency_gauge(spark: SparkSession, folder: str) -> DataFrame:
-    """The most jobs of each model at work at once."""
-    j = distinct_rows(spark, folder, "dogfood_jobs").where("duration_ms > 0 and duration_ms < 10000000")
-    end = F.timestamp_micros(F.unix_micros("recorded_at") + F.col("duration_ms") * 1000)
+    """The most jobs of each model at work at once, however long they take.
+
+    A job whose end lies beyond the range of timestamps (the year 294247) stays open: its end is the last timestamp.
+    """
+    j = distinct_rows(spark, folder, "dogfood_jobs").where("duration_ms > 0")
+    last = F.lit(2**63 - 1)
+    beyond = F.expr("duration_ms > (9223372036854775807L - greatest(unix_micros(recorded_at), 0L)) div 1000")
+    end = F.timestamp_micros(F.when(beyond, last).otherwise(F.unix_micros("recorded_at") + F.col("duration_ms") * 1000))
     return H.concurrency(j, ["model"], F.col("recorded_at"), end)
 
 

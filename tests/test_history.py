@@ -7,6 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from corpusloom import queries
 from corpusloom.operators import history as H
 from corpusloom.operators import packaging as K
 from corpusloom.plans import config, contracts
@@ -28,6 +29,16 @@ def test_compare_with_null_keys_and_repeats(spark):
     assert got == {"x": (20, 50, 30, "both"), None: (5, 7, 2, "both"), "gone": (1, None, None, "removed"), "new": (None, None, None, "added")}
 
 
+def test_concurrency_gauge_keeps_long_jobs(spark, tmp_path):
+    rows = [(1, "a", 10_000_000), (2, "a", 1_117_000_000_000), (3, "a", 2**63 - 1), (4, "a", 5), (5, "b", 0), (6, "b", None), (7, "b", 7)]
+    jobs = spark.createDataFrame(rows, "job_key bigint, model string, duration_ms bigint")
+    jobs = jobs.withColumn("recorded_at", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("job_key"))).withColumn("ingested_at", F.col("recorded_at"))
+    for c in ("record_key", "job_id", "input_path", "profile", "status", "queue_wait_ms", "chunk_count", "warning_count"):
+        jobs = jobs.withColumn(c, F.lit(None).cast("string"))
+    jobs.write.parquet(str(tmp_path / "dogfood_jobs.parquet"))
+    assert {r.model: r.peak for r in queries.q_concurrency_gauge(spark, str(tmp_path)).collect()} == {"a": 4, "b": 1}
+
+
 def test_concurrency(spark):
     rng = random.Random(3)
     spans = [(g, s, s + rng.randrange(1, 300_000)) for g in ("a", "b", None) for s in (rng.randrange(0, 600_000) for _ in range(60))]
