@@ -5,10 +5,10 @@ A multi-label linear classifier: one linear model per defect over hashed n-grams
 ends).  It is trained where it runs, on a bounded sample of the pairs (about TRAINING_PAIRS, twice that at most): pairs that look sound are kept as
 they are, and each is also broken on purpose - cut off, replaced by its prompt, swapped with a response in another language,
 emptied, or refused - or varied harmlessly (prompt restated before the answer, a refusal only told of, a terse answer).
-A held-out part sets each model's threshold where the F1 measure is best.
+A held-out part, of other pairs, sets each model's threshold where the F1 measure is best.
 
-How an open end is continued elsewhere in the corpus (llm.truncation, over all pairs) is one of the features; the sample's
-cut responses go through the same join.
+How an open end is continued elsewhere in the corpus (llm.truncation, over all pairs) is one of the features.  The sample's
+made responses are only looked up there, each against the corpus without the response that it was made of.
 """
 
 from __future__ import annotations
@@ -234,9 +234,10 @@ class Linear:
         return products[ends] - products[np.concatenate([[0], ends[:-1]])]
 
     @classmethod
-    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Linear:
-        """labels: defect number of each row, -1 for none.  Every fifth row is held out for the thresholds."""
-        held = np.arange(len(rows)) % 5 == 0
+    def fit(cls, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, pairs: np.ndarray) -> Linear:
+        """labels: defect number of each row, -1 for none.  pairs: number of the pair that a row was made of; every fifth
+        pair is held out for the thresholds, with all its rows."""
+        held = pairs % 5 == 0
         y = (labels[:, None] == np.arange(len(DEFECTS))[None, :]).astype(float)
         train = np.flatnonzero(~held)
         index = np.concatenate([rows[i][0] for i in train])
@@ -372,55 +373,57 @@ def cut_off(rng: random.Random, response: str) -> str:
     return response[:at].rstrip() + rng.choice(["", "", "", "…", "...", "\n"])
 
 
-def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int]]:
-    """(prompt, response, defect number or -1) made of sound pairs."""
+def examples(pairs: list[tuple[str, str]]) -> list[tuple[str, str | None, int, int, str]]:
+    """(prompt, response, defect number or -1, number of the pair, the corpus's response in it) made of sound pairs."""
     rng = random.Random(SEED)
     by_language: dict[int, list[str]] = {}
     for _, r in pairs:
         n = languages(WORDS.findall(content(r)[0].lower()))
         by_language.setdefault(int(n.argmax()), []).append(r)
-    out: list[tuple[str, str | None, int]] = []
-    for p, r in pairs:
+    out: list[tuple[str, str | None, int, int, str]] = []
+    for i, (p, r) in enumerate(pairs):
         want = asked_language(p)
         name = LANGUAGES[want] if want >= 0 else "en"
-        out.append((p, r, -1))
+        out.append((p, r, -1, i, r))
         kind = rng.random()
         end = truncation.open_end(r)
         if kind < 0.35 or (end and end[0] in ("plain", "alone")):  # lists without stops are cut each time, as they are hardest to tell
-            out.append((p, cut_off(rng, r), 1))
+            out.append((p, cut_off(rng, r), 1, i, r))
         if kind < 0.35:
             pass
         elif kind < 0.5:
             others = [v for k, v in by_language.items() if k != want and v]
             if others:
-                out.append((p, rng.choice(rng.choice(others)), 4))
+                other_response = rng.choice(rng.choice(others))
+                out.append((p, other_response, 4, i, other_response))
         elif kind < 0.65:
             s = refusal(rng, name)
             if rng.random() < 0.15:
                 s = rng.choice(['{{"title": "Untitled", "abstract": {}, "bullets": [], "open_questions": [], "confidence": "low"}}', "TITLE: Untitled\nABSTRACT: {}\nKEY POINTS:\n- None\nOPEN QUESTIONS:\n- None\nCONFIDENCE: low"]).format(json.dumps(s, ensure_ascii=False))
-            out.append((p, s, 2))
+            out.append((p, s, 2, i, ""))
         elif kind < 0.8:
-            out.append((p, copied(rng, p), 3))
+            out.append((p, copied(rng, p), 3, i, ""))
         elif kind < 0.88:
-            out.append((p, rng.choice([*EMPTIES, None]), 0))
+            out.append((p, rng.choice([*EMPTIES, None]), 0, i, ""))
         if rng.random() < 0.12:
-            out.append((p, refusal(rng, name), 2))
+            out.append((p, refusal(rng, name), 2, i, ""))
         plain = content(r)[1] is False
         other = rng.random()
         if other < 0.12:
-            out.append((p, rng.choice(TERSE[name]).format("night shift"), -1))
+            out.append((p, rng.choice(TERSE[name]).format("night shift"), -1, i, ""))
         elif other < 0.24 and plain:
-            out.append((p, rng.choice(TOLD[name]) + r, -1))
+            out.append((p, rng.choice(TOLD[name]) + r, -1, i, r))
         elif other < 0.34 and plain:
-            out.append((p, re.split(r"\n\s*\n", p, maxsplit=1)[0] + "\n\n" + r, -1))
+            out.append((p, re.split(r"\n\s*\n", p, maxsplit=1)[0] + "\n\n" + r, -1, i, r))
         elif other < 0.4 and plain:
-            out.append((p, r.rstrip() + " " + rng.choice(CLOSINGS[name]), -1))
+            out.append((p, r.rstrip() + " " + rng.choice(CLOSINGS[name]), -1, i, r))
         elif other < 0.48 and plain:
             foreign = rng.choice(by_language.get(rng.randrange(4)) or [r])
             sentence = re.split(r"(?<=[.!?])\s", content(foreign)[0].strip())[0][:200]
-            out.append((p, FOREIGN_QUOTE[max(want, 0)].format(sentence) + r, -1))
+            out.append((p, FOREIGN_QUOTE[max(want, 0)].format(sentence) + r, -1, i, r))
     prompts = [p for p, _ in pairs]
-    out += [(rng.choice(prompts), e, 0) for e in [*EMPTIES, None] * 6 if prompts]
+    # Held out by turns, as they are made of no pair.
+    out += [(rng.choice(prompts), e, 0, i, "") for i, e in enumerate([*EMPTIES, None] * 6) if prompts]
     return out
 
 
@@ -445,14 +448,16 @@ def train(spark: SparkSession, results: DataFrame) -> tuple[Linear, DataFrame]:
     sample = sorted(taken.where(share).dropDuplicates(["result_key"]).limit(2 * TRAINING_PAIRS).collect())
     pairs = [(r.prompt, r.raw_response) for r in sample if sound(r.prompt, r.raw_response)]
     made = examples(pairs)
-    # The examples' ends are joined like those of the corpus; keys below zero are theirs.
-    rows = [(-1 - i, r) for i, (_, r, _) in enumerate(made)]
-    drawn = spark.createDataFrame(rows, "result_key bigint, raw_response string").selectExpr("result_key", "cast(null as string) as source", "raw_response", "cast(null as string) as markdown")
+    # The examples' ends are looked up by keys below zero, each as if the corpus had it in place of what it was made of.
+    opened = [(-1 - i, truncation.open_end(r), r, origin) for i, (_, r, _, _, origin) in enumerate(made) if r]
+    mine = {-1 - key for key, end, _, _ in opened if end and end[0] == "json"}
+    rows = [(key, *end, *truncation.own_counts(r, origin)) for key, end, r, origin in opened if end and end[0] != "json"]
+    lookups = spark.createDataFrame(rows, "result_key bigint, kind string, context string, word string, " + ", ".join(f"{c} bigint" for c in truncation.OWN))
     real = results.where("result_key >= 0").selectExpr("result_key", "source", "raw_response", "cast(null as string) as markdown")
-    ends = truncation.truncated(real.unionByName(drawn)).select("result_key")
-    mine = {-1 - r[0] for r in ends.where("result_key < 0").collect()}
-    x = [features(p, r, i in mine) for i, (p, r, _) in enumerate(made)]
-    return Linear.fit(x, np.array([k for _, _, k in made])), ends.where("result_key >= 0")
+    ends = truncation.truncated(real, lookups).select("result_key")
+    mine |= {-1 - r[0] for r in ends.where("result_key < 0").collect()}
+    x = [features(p, r, i in mine) for i, (p, r, *_) in enumerate(made)]
+    return Linear.fit(x, np.array([m[2] for m in made]), np.array([m[3] for m in made])), ends.where("result_key >= 0")
 
 
 def defective(spark: SparkSession, results: DataFrame) -> DataFrame:

@@ -36,6 +36,7 @@ LIMIT_NEAR, LIMIT_CHANCE, LIMIT_SHARE = 25, 0.01, 0.5
 WINDOWS_HELD = 300_000
 #: Prefixes of a word up to this length are entered; longer ends are joined by the word's first characters of that length.
 LONGEST_PREFIX = 24
+OWN = ("ends_own", "longer_own", "ends_any_own", "longer_any_own")
 
 # Marks that sources put after a cut, and signs that end a sentence or close it.
 _MARKS = re.compile(r"(?:\s|…|\.\.\.|�|​|﻿|\[(?:…|\.\.\.|truncated|cut|snip|gekürzt|tronqué|truncado)\]|<(?:truncated|cut)>)+\Z", re.I)
@@ -96,6 +97,28 @@ def open_end(value: str) -> tuple[str, str, str] | None:
     return kind, _context(before) if before else "^", _word(f)
 
 
+def own_counts(value: str, origin: str) -> tuple[int, int, int, int]:
+    """What a value put in place of its origin changes in the counts that its open end is judged by: (ends, longer) after its
+    context and (ends, longer) anywhere, of its own windows without its end, less those of the origin with its end."""
+    end = open_end(value)
+    out = [0, 0, 0, 0]
+    if end is None or end[0] == "json":
+        return 0, 0, 0, 0
+    prefix = end[2][:LONGEST_PREFIX]
+    for text, sign in ((value, 1), (origin, -1)):
+        words = text.replace("\n", _NEWLINE + " ").split()
+        if words and sign < 0:
+            words[-1] += _NEWLINE
+        for a, b in zip(["", *words], words if sign < 0 else words[:-1]):
+            w = _word(b)
+            if prefix and w.startswith(prefix):
+                stops = (b[-1] == _NEWLINE or bool(_STOP.search(b))) and (w == prefix or len(prefix) == LONGEST_PREFIX)
+                out[2 + (not stops)] += sign
+                if _context(a) == end[1]:
+                    out[not stops] += sign
+    return tuple(out)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of distinct values (id, value): a row per value with its end (kind, context, word of an open end; end_context, end_word
     of the window there), and rows without an id with the windows inside values, counted (n)."""
@@ -176,12 +199,16 @@ def _ends_apart(results: DataFrame, own: DataFrame, asked: DataFrame) -> DataFra
     return own.unionByName(own.select(F.lit("*").alias("context"), "prefix", "id").distinct()).groupBy("context", "prefix").agg(F.count(F.lit(1)).alias("apart"))
 
 
-def truncated(results: DataFrame) -> DataFrame:
+def truncated(results: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
     """Cut values: (result_key, source, field_name), each once.
 
     Needs result_key bigint, source and the two fields; other columns are not read.  Null, empty and blank values are not
     cut; a null source is a source of its own.  Repeated rows count once; an empty table gives no rows.  Equal values, under
     whatever keys and fields, are one value: it is scanned, counted and judged once, and the verdict goes to all its rows.
+
+    lookups, few rows (result_key, kind, context, word, ends_own, longer_own, ends_any_own, longer_any_own), are open ends
+    that are judged by the same counts plus what they bring along (own_counts), but are themselves neither counted nor held
+    to limits; those cut are returned with a null source and field.
     """
     fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("value")) for f in FIELDS])).alias("_v")
     values = results.select(fields).select("_v.value").where("value != ''").distinct()
@@ -192,6 +219,10 @@ def truncated(results: DataFrame) -> DataFrame:
     ends = scanned.where("kind is not null").drop("ended", "n")
     sure = ends.where("kind = 'json'")
     asked = ends.where("kind != 'json'").withColumn("prefix", F.substring("word", 1, LONGEST_PREFIX))
+    asked = asked.select("*", *[F.lit(None).cast("long").alias(c) for c in (*OWN, "looked_up")])
+    if lookups is not None:
+        looked_up = lookups.select(F.col("result_key").alias("looked_up"), "kind", "context", "word", F.substring("word", 1, LONGEST_PREFIX).alias("prefix"), *OWN)
+        asked = asked.unionByName(cut(looked_up), allowMissingColumns=True)
     own = scanned.where("end_word is not null").select("id", F.col("end_context").alias("context"), F.col("end_word").alias("word"))
     windows = scanned.where("id is null").groupBy("context", "word", "ended").agg(F.sum("n").alias("n"))
     # The windows at the values' ends, without ended: they go on longer than a prefix, but as ends they are counted below.
@@ -216,17 +247,20 @@ def truncated(results: DataFrame) -> DataFrame:
     # An end counts itself once, unless a mark after it makes the value end in another window.
     itself = (F.substring("end_word", 1, LONGEST_PREFIX) == F.col("prefix")).cast("int")
     itself_near = F.coalesce(itself * (F.col("end_context") == F.col("context")).cast("int"), F.lit(0))
-    ends_n = F.greatest(F.coalesce("ends", F.lit(0)) - itself_near, F.lit(0))
-    longer = F.coalesce("longer", F.lit(0))
-    ends_any = F.greatest(F.coalesce("ends_any", F.lit(0)) - F.coalesce(itself, F.lit(0)), F.lit(0))
-    longer_any = F.coalesce("longer_any", F.lit(0))
+    ends_own, longer_own, ends_any_own, longer_any_own = (F.coalesce(c, F.lit(0)) for c in OWN)
+    ends_n = F.greatest(F.coalesce("ends", F.lit(0)) - itself_near + ends_own, F.lit(0))
+    longer = F.greatest(F.coalesce("longer", F.lit(0)) + longer_own, F.lit(0))
+    ends_any = F.greatest(F.coalesce("ends_any", F.lit(0)) - F.coalesce(itself, F.lit(0)) + ends_any_own, F.lit(0))
+    longer_any = F.greatest(F.coalesce("longer_any", F.lit(0)) + longer_any_own, F.lit(0))
     known = ends_n + longer >= 2
     # Where numbers stand elsewhere tells nothing on a short answer that is one ("n = 17").
     answer = (F.col("word") == "#") & (F.col("kind") == "alone")
     share = F.when(known, ends_n / (ends_n + longer)).when((ends_any + longer_any > 0) & ~answer, ends_any / (ends_any + longer_any))
     most = F.when(F.col("kind") == "stops", END_SHARE_STOPS).otherwise(END_SHARE_OPEN)
-    verdict = judged.select("id", "length", F.coalesce(share <= most, F.col("kind") == "stops").alias("is_cut"))
-    verdict = cut(verdict.unionByName(sure.select("id", "length", F.lit(True).alias("is_cut"))))
+    verdict = judged.select("id", "length", F.coalesce(share <= most, F.col("kind") == "stops").alias("is_cut"), "looked_up")
+    verdict = cut(verdict.unionByName(sure.select("id", "length", F.lit(True).alias("is_cut"), F.lit(None).cast("long").alias("looked_up"))))
+    found = verdict.where("is_cut and looked_up is not null").select(F.col("looked_up").alias("result_key"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("field_name"))
+    verdict = verdict.where("looked_up is null").drop("looked_up")
     ids = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.md5(f).alias("id")) for f in FIELDS])).alias("_v")
     rows = results.select("result_key", "source", ids).select("result_key", "source", "_v.*").join(small(verdict), "id")
     rows = cut(rows)
@@ -235,7 +269,7 @@ def truncated(results: DataFrame) -> DataFrame:
         small(limits), F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("length") == F.col("l")), "left_semi"
     )
     keep = ["result_key", "source", "field_name"]
-    return rows.where("is_cut").select(keep).unionByName(at_limit.select(keep)).distinct()
+    return rows.where("is_cut").select(keep).unionByName(at_limit.select(keep)).unionByName(found).distinct()
 
 
 def rates(results: DataFrame) -> DataFrame:

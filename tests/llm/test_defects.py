@@ -156,3 +156,18 @@ def test_copies_of_a_cut_value_do_not_vouch_for_each_other(spark):
     df = spark.createDataFrame(rows, "result_key bigint, source string, raw_response string, markdown string")
     got = {(r.result_key, r.field_name) for r in truncation.truncated(df).collect()}
     assert got == {(1000 + i, f) for i in range(200) for f in truncation.FIELDS}
+
+
+def test_made_ends_are_only_looked_up(spark):
+    """A made cut sees the corpus without its original, and the held-out part shares no pair with the training part."""
+    rows = [(i, "a", f"Report {i} lists the open tasks of the week. It was kept.", None) for i in range(20)]
+    whole = "The archive keeps a zebrawood cabinet. It was kept."
+    rows += [(100 + i, "a", whole, None) for i in range(3)]
+    df = spark.createDataFrame(rows, "result_key bigint, source string, raw_response string, markdown string")
+    schema = "result_key bigint, kind string, context string, word string, " + ", ".join(f"{c} bigint" for c in truncation.OWN)
+    cuts = [("The archive keeps a zebraw", whole), (rows[0][2][:32], rows[0][2])]
+    ends = [(-1 - i, *truncation.open_end(v), *truncation.own_counts(v, o)) for i, (v, o) in enumerate(cuts)]
+    assert {r.result_key for r in truncation.truncated(df, spark.createDataFrame(ends, schema)).collect()} == {-2}
+    made = pairs.examples([sound(random.Random(i)) for i in range(60)])
+    held = [m for m in made[:-6 * (len(pairs.EMPTIES) + 1)] if m[3] % 5 == 0]
+    assert {m[0] for m in held if m[2] >= 0} <= {sound(random.Random(i))[0] for i in range(0, 60, 5)}
