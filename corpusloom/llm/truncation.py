@@ -7,9 +7,10 @@ counted over all values, each window is entered under its first word and every p
 ends are joined to these entries on the two, so the join is an equality and makes one row per end.
 
 An end is asked about only if it is open: without a full stop or a closing sign, apart from marks that a source puts
-after a cut.  Two things in the value itself count as well: JSON that is never closed, and whether its other sentences or
-list items end with a stop.  A last step uses field limits: an open value of exactly the length at which its source cut
-others was cut too, if that length has more cut values than the lengths around it explain.
+after a cut, or inside JSON that is never closed.  How a value's other sentences or list items end says how many equal
+ends elsewhere are enough to call it complete.  No value is called cut by its shape: either a longer window elsewhere
+goes on where it ends, or it is as long as its source's field limit: an open value of exactly the length at which its
+source cut others was cut too, if that length has more cut values than the lengths around it explain.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ LIMIT_COPIES = 3
 LIMIT_NEAR, LIMIT_CHANCE, LIMIT_SHARE = 25, 0.01, 0.5
 #: Distinct windows that a Python worker holds before it hands them on (memory bound; sums do not change).
 WINDOWS_HELD = 300_000
-#: Prefixes of a word up to this length are entered; longer ends are joined by the word's first characters of that length.
+#: Prefixes of a word up to this length are entered; longer ends are joined by their first characters, then compared whole.
 LONGEST_PREFIX = 24
 OWN = ("ends_own", "longer_own", "ends_any_own", "longer_any_own")
 
@@ -44,6 +45,9 @@ _CLOSED = re.compile(r"[.!?。！？؟…][\"'”’»“)\]*_`]*\Z|[\"”»`|}>
 _STOP = re.compile(r"[.!?。！？؟…;][\"'”’»“)\]*_`,]*\Z")
 _ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s")
 _LABEL = re.compile(r"\s*[*#>\s]*[^\W\d_][\w \-]{0,24}:\s*\S{0,12}\s*\Z")
+_FENCE = re.compile(r"\A\s*```\w*\s*|\s*```\s*\Z")
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+_BEFORE_STRING = re.compile(r'(?<=[:,\[{])(?=")')
 _EDGE = "\"'“”‘’«»()[]{}*_`,;:.!?…。"
 _DIGIT = re.compile(r"\d")
 _NEWLINE = "⏎"
@@ -60,30 +64,61 @@ def _context(w: str) -> str:
     return "^" if w == "" or w[-1] == _NEWLINE or _STOP.search(w) else _word(w)
 
 
-def open_end(value: str) -> tuple[str, str, str] | None:
-    """(kind, context, last word) of an open end, or None.  kind: json (never closed), stops (the other units have stops),
-    plain (they have none), alone (there are none)."""
+def _body(value: str) -> tuple[str, bool]:
+    """(a value without marks put after a cut, whether one of them stands for a lost character)."""
     marked = _MARKS.search(value)
-    body = value[: marked.start()] if marked else value
+    return (value[: marked.start()], "\ufffd" in marked.group()) if marked else (value, False)
+
+
+def _is_json(body: str) -> bool:
+    head = body.lstrip()[:16]
+    return head.startswith(("{", "[{", '["')) or re.match(r"```(?:json)?\s*[{\[]", head) is not None
+
+
+def _tokens(body: str) -> list[str]:
+    """The words of a value, the last of a line with a sign; without signs after the last word."""
+    if _is_json(body):
+        body = _BEFORE_STRING.sub(" ", body.replace("\\n", "\n"))
+    words = body.replace("\n", _NEWLINE + " ").split()
+    while words and not _word(words[-1]):
+        words.pop()
+    return words
+
+
+def _never_closed(body: str) -> bool:
+    """Whether JSON ends inside a string, an object or an array."""
+    body = _FENCE.sub("", body)
+    if body.endswith("}") and body.count("{") == body.count("}"):
+        return False
+    bare = _STRING.sub("", body)
+    return '"' in bare or bare.count("{") > bare.count("}") or bare.count("[") > bare.count("]")
+
+
+def open_end(value: str) -> tuple[str, str, str] | None:
+    """(kind, context, last word) of an open end, or None.  kind: json (never closed), lost (a lost character or a comma at the
+    end), stops (the other units have stops), plain (they have none), alone (there are none)."""
+    body, lost = _body(value)
     if len(body) < 4 or not any(c.isalnum() for c in body[-80:]):
         return None
-    lost = bool(marked and "�" in marked.group())
-    head = body.lstrip()[:16]
-    if head.startswith(("{", "[{", '["')) or re.match(r"```(?:json)?\s*[{\[]", head):
-        if body.endswith(("}", "]", "```")) or (body.count("{") == body.count("}") and body.count('"') % 2 == 0):
-            return None
-        return "json", "", ""
-    if _CLOSED.search(body[-8:]) and not lost:
+    is_json = _is_json(body)
+    if is_json and not _never_closed(body):
+        return None
+    if not is_json and _CLOSED.search(body[-8:]) and not lost:
         return None
     lines = [x for x in body.split("\n") if x.strip()]
     last = lines[-1]
     if last.rstrip().endswith(":") and all(_LABEL.match(x) for x in lines):
         return None  # labels without content
-    words = last.split()
-    f = words[-1]
-    before = words[-2] if len(words) > 1 else ""
+    words = _tokens(body if is_json else last)
+    if not words:
+        return None
+    context = _context(words[-2] if len(words) > 1 else "")
     kind = "alone"
-    if not _LABEL.match(last):
+    if is_json:
+        kind = "json"
+    elif lost or words[-1][-1:] == ",":
+        kind = "lost"
+    elif not _LABEL.match(last):
         item = bool(_ITEM.match(last))
         others = [x for x in lines[:-1] if bool(_ITEM.match(x)) == item and not x.startswith("#") and not x.rstrip().endswith(":") and not _LABEL.match(x)]
         stops = sum(bool(_STOP.search(x.rstrip()[-8:])) for x in others)
@@ -92,9 +127,7 @@ def open_end(value: str) -> tuple[str, str, str] | None:
             kind = "stops" if inner else "alone"
         else:
             kind = "stops" if stops * 2 > len(others) else "plain"
-    if lost or f[-1:] == ",":
-        return "json", "", ""
-    return kind, _context(before) if before else "^", _word(f)
+    return kind, context, _word(words[-1])
 
 
 def own_counts(value: str, origin: str) -> tuple[int, int, int, int]:
@@ -102,20 +135,20 @@ def own_counts(value: str, origin: str) -> tuple[int, int, int, int]:
     context and (ends, longer) anywhere, of its own windows without its end, less those of the origin with its end."""
     end = open_end(value)
     out = [0, 0, 0, 0]
-    if end is None or end[0] == "json":
+    if end is None:
         return 0, 0, 0, 0
-    prefix = end[2][:LONGEST_PREFIX]
+    asked = end[2]
     for text, sign in ((value, 1), (origin, -1)):
-        words = text.replace("\n", _NEWLINE + " ").split()
+        words = _tokens(_body(text)[0])
         if words and sign < 0:
             words[-1] += _NEWLINE
         for a, b in zip(["", *words], words if sign < 0 else words[:-1]):
             w = _word(b)
-            if prefix and w.startswith(prefix):
-                stops = (b[-1] == _NEWLINE or bool(_STOP.search(b))) and (w == prefix or len(prefix) == LONGEST_PREFIX)
-                out[2 + (not stops)] += sign
+            if w.startswith(asked):
+                goes_on = w != asked or not (b[-1] == _NEWLINE or bool(_STOP.search(b)))
+                out[2 + goes_on] += sign
                 if _context(a) == end[1]:
-                    out[not stops] += sign
+                    out[goes_on] += sign
     return tuple(out)
 
 
@@ -146,11 +179,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ends = []
         for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = value.replace("\n", _NEWLINE + " ").split()
+            words = _tokens(_body(value)[0])
             if words:
                 held.update(zip(["", *words], words[:-1]))
-                w = _word(words[-1])
-                end = (_context(words[-2] if len(words) > 1 else ""), w) if w else (None, None)
+                end = (_context(words[-2] if len(words) > 1 else ""), _word(words[-1]))
                 ends.append((key, len(value), *(open_end(value) or (None, None, None)), *end))
         if ends:
             none = pa.nulls(len(ends))
@@ -184,23 +216,23 @@ def _limits(ends: DataFrame) -> DataFrame:
 
 
 def _ends_apart(results: DataFrame, own: DataFrame, asked: DataFrame) -> DataFrame:
-    """How many values that vouch for themselves end in each asked window: (context, prefix, apart), context * for any.
+    """How many values that vouch for themselves end in each asked window: (context, word, apart), context * for any.
 
     own has the windows at the ends of distinct values (id, context, word).  A markdown that ends like a raw response of its
     result is the same end and counts with that raw response.
     """
     raw, markdown = (F.md5(f) for f in FIELDS)
-    own = own.withColumn("prefix", F.substring("word", 1, LONGEST_PREFIX))
-    own = cut(own.join(small(asked.select("prefix").distinct()), "prefix", "left_semi").select("id", "context", "prefix"))
+    own = cut(own.join(small(asked.select("word").distinct()), "word", "left_semi").select("id", "context", "word"))
     pairs = results.select(raw.alias("raw"), markdown.alias("id")).where("raw is not null and id is not null and raw != id").distinct()
-    ends = own.select(F.col("id").alias("raw"), F.col("context").alias("c"), F.col("prefix").alias("p"))
-    same = pairs.join(own, "id").join(ends, "raw").where("context = c and prefix = p").groupBy("id").agg(F.min("raw").alias("raw"))
-    own = own.join(same, "id", "left").select("context", "prefix", F.coalesce("raw", "id").alias("id")).distinct()
-    return own.unionByName(own.select(F.lit("*").alias("context"), "prefix", "id").distinct()).groupBy("context", "prefix").agg(F.count(F.lit(1)).alias("apart"))
+    ends = own.select(F.col("id").alias("raw"), F.col("context").alias("c"), F.col("word").alias("w"))
+    same = pairs.join(own, "id").join(ends, "raw").where("context = c and word = w").groupBy("id").agg(F.min("raw").alias("raw"))
+    own = own.join(same, "id", "left").select("context", "word", F.coalesce("raw", "id").alias("id")).distinct()
+    return own.unionByName(own.select(F.lit("*").alias("context"), "word", "id").distinct()).groupBy("context", "word").agg(F.count(F.lit(1)).alias("apart"))
 
 
 def truncated(results: DataFrame, lookups: DataFrame | None = None) -> DataFrame:
-    """Cut values: (result_key, source, field_name), each once.
+    """Cut values: (result_key, source, field_name, evidence), each once.  evidence: window (a longer window goes on there), word
+    (a longer word or sentence does, after another word), limit (the source's field limit).
 
     Needs result_key bigint, source and the two fields; other columns are not read.  Null, empty and blank values are not
     cut; a null source is a source of its own.  Repeated rows count once; an empty table gives no rows.  Equal values, under
@@ -216,60 +248,52 @@ def truncated(results: DataFrame, lookups: DataFrame | None = None) -> DataFrame
     values = values.select(F.md5("value").alias("id"), "value").repartition(int(results.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
     schema = "id string, length bigint, kind string, context string, word string, end_context string, end_word string, ended boolean, n bigint"
     scanned = cut(values.mapInArrow(_scan, schema))
-    ends = scanned.where("kind is not null").drop("ended", "n")
-    sure = ends.where("kind = 'json'")
-    asked = ends.where("kind != 'json'").withColumn("prefix", F.substring("word", 1, LONGEST_PREFIX))
-    asked = asked.select("*", *[F.lit(None).cast("long").alias(c) for c in (*OWN, "looked_up")])
+    asked = scanned.where("kind is not null").drop("ended", "n").select("*", *[F.lit(None).cast("long").alias(c) for c in (*OWN, "looked_up")])
     if lookups is not None:
-        looked_up = lookups.select(F.col("result_key").alias("looked_up"), "kind", "context", "word", F.substring("word", 1, LONGEST_PREFIX).alias("prefix"), *OWN)
-        asked = asked.unionByName(cut(looked_up), allowMissingColumns=True)
+        asked = asked.unionByName(cut(lookups.withColumnRenamed("result_key", "looked_up")), allowMissingColumns=True)
     own = scanned.where("end_word is not null").select("id", F.col("end_context").alias("context"), F.col("end_word").alias("word"))
     windows = scanned.where("id is null").groupBy("context", "word", "ended").agg(F.sum("n").alias("n"))
     # The windows at the values' ends, without ended: they go on longer than a prefix, but as ends they are counted below.
     windows = windows.unionByName(own.groupBy("context", "word").agg(F.lit(None).cast("boolean").alias("ended"), F.count(F.lit(1)).alias("n")))
     every = windows.groupBy(F.lit("*").alias("context"), "word", "ended").agg(F.sum("n").alias("n"))
-    entries = (
-        windows.unionByName(every)
-        .withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.length("word"), F.lit(LONGEST_PREFIX)))))
-        .withColumn("prefix", F.substring("word", 1, F.col("length")))
-    )
-    needles = asked.select("context", "prefix").union(asked.select(F.lit("*"), "prefix")).distinct()
-    whole = (F.col("word") == F.col("prefix")) | (F.length("prefix") == LONGEST_PREFIX)
+    prefix = F.substring("word", 1, LONGEST_PREFIX)
+    entries = windows.unionByName(every).withColumn("_n", F.explode(F.sequence(F.lit(1), F.length(prefix)))).withColumn("prefix", F.substring("word", F.lit(1), F.col("_n")))
+    needles = asked.select("context", "word").union(asked.select(F.lit("*"), "word")).distinct()
+    needles = needles.select("context", F.col("word").alias("end"), prefix.alias("prefix"))
+    whole = F.col("word") == F.col("end")
     stops = F.coalesce("ended", F.lit(True)) & whole
-    counts = entries.join(small(needles), ["context", "prefix"], "left_semi").groupBy("context", "prefix").agg(
+    counts = entries.join(small(needles), ["context", "prefix"]).where("startswith(word, end)").groupBy("context", F.col("end").alias("word")).agg(
         F.sum(F.when(F.col("ended") & whole, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(stops, 0).otherwise(F.col("n"))).alias("longer")
     )
-    counts = counts.join(_ends_apart(results, own, asked), ["context", "prefix"], "left")
-    counts = cut(counts.select("context", "prefix", (F.col("ends") + F.coalesce("apart", F.lit(0))).alias("ends"), "longer"))
+    counts = counts.join(_ends_apart(results, own, asked), ["context", "word"], "left")
+    counts = cut(counts.select("context", "word", (F.col("ends") + F.coalesce("apart", F.lit(0))).alias("ends"), "longer"))
     near = counts.where("context != '*'")
-    anywhere = counts.where("context = '*'").select("prefix", F.col("ends").alias("ends_any"), F.col("longer").alias("longer_any"))
-    judged = asked.join(small(near), ["context", "prefix"], "left").join(small(anywhere), "prefix", "left")
-    # An end counts itself once, unless a mark after it makes the value end in another window.
-    itself = (F.substring("end_word", 1, LONGEST_PREFIX) == F.col("prefix")).cast("int")
-    itself_near = F.coalesce(itself * (F.col("end_context") == F.col("context")).cast("int"), F.lit(0))
-    ends_own, longer_own, ends_any_own, longer_any_own = (F.coalesce(c, F.lit(0)) for c in OWN)
-    ends_n = F.greatest(F.coalesce("ends", F.lit(0)) - itself_near + ends_own, F.lit(0))
-    longer = F.greatest(F.coalesce("longer", F.lit(0)) + longer_own, F.lit(0))
-    ends_any = F.greatest(F.coalesce("ends_any", F.lit(0)) - F.coalesce(itself, F.lit(0)) + ends_any_own, F.lit(0))
-    longer_any = F.greatest(F.coalesce("longer_any", F.lit(0)) + longer_any_own, F.lit(0))
-    known = ends_n + longer >= 2
-    # Where numbers stand elsewhere tells nothing on a short answer that is one ("n = 17").
+    anywhere = counts.where("context = '*'").select("word", F.col("ends").alias("ends_any"), F.col("longer").alias("longer_any"))
+    judged = asked.join(small(near), ["context", "word"], "left").join(small(anywhere), "word", "left")
+    # An end counts itself once.
+    itself = F.coalesce((F.col("end_word") == F.col("word")).cast("int"), F.lit(0))
+    itself_near = itself * F.coalesce((F.col("end_context") == F.col("context")).cast("int"), F.lit(0))
+    at_least_0 = lambda c, less, more: F.greatest(F.coalesce(c, F.lit(0)) - less + F.coalesce(more, F.lit(0)), F.lit(0))
+    ends_n, longer = at_least_0("ends", itself_near, "ends_own"), at_least_0("longer", F.lit(0), "longer_own")
+    ends_any, longer_any = at_least_0("ends_any", itself, "ends_any_own"), at_least_0("longer_any", F.lit(0), "longer_any_own")
+    judged = judged.select("id", "length", "kind", "word", "looked_up", ends_n.alias("ends"), longer.alias("longer"), ends_any.alias("ends_any"), longer_any.alias("longer_any"))
+    # Where numbers stand elsewhere tells nothing on a short answer that is one ("x = 3").
     answer = (F.col("word") == "#") & (F.col("kind") == "alone")
-    share = F.when(known, ends_n / (ends_n + longer)).when((ends_any + longer_any > 0) & ~answer, ends_any / (ends_any + longer_any))
-    most = F.when(F.col("kind") == "stops", END_SHARE_STOPS).otherwise(END_SHARE_OPEN)
-    verdict = judged.select("id", "length", F.coalesce(share <= most, F.col("kind") == "stops").alias("is_cut"), "looked_up")
-    verdict = cut(verdict.unionByName(sure.select("id", "length", F.lit(True).alias("is_cut"), F.lit(None).cast("long").alias("looked_up"))))
-    found = verdict.where("is_cut and looked_up is not null").select(F.col("looked_up").alias("result_key"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("field_name"))
+    most = F.when(F.col("kind").isin("stops", "json", "lost"), END_SHARE_STOPS).otherwise(END_SHARE_OPEN)
+    goes_on = lambda n, more: (more > 0) & (n <= most * (n + more))
+    evidence = F.when(F.col("ends") + F.col("longer") >= 2, F.when(goes_on(F.col("ends"), F.col("longer")), "window")).when(~answer & goes_on(F.col("ends_any"), F.col("longer_any")), "word")
+    verdict = cut(judged.select("id", "length", evidence.alias("evidence"), "looked_up"))
+    nothing = F.lit(None).cast("string")
+    found = verdict.where("evidence is not null and looked_up is not null").select(F.col("looked_up").alias("result_key"), nothing.alias("source"), nothing.alias("field_name"), "evidence")
     verdict = verdict.where("looked_up is null").drop("looked_up")
     ids = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.md5(f).alias("id")) for f in FIELDS])).alias("_v")
-    rows = results.select("result_key", "source", ids).select("result_key", "source", "_v.*").join(small(verdict), "id")
-    rows = cut(rows)
-    limits = _limits(rows.select("source", "field_name", "length", "id", "is_cut").distinct())
-    at_limit = rows.where(~F.col("is_cut")).join(
+    rows = cut(results.select("result_key", "source", ids).select("result_key", "source", "_v.*").join(small(verdict), "id"))
+    limits = _limits(rows.select("source", "field_name", "length", "id", F.col("evidence").isNotNull().alias("is_cut")).distinct())
+    at_limit = rows.where("evidence is null").join(
         small(limits), F.col("source").eqNullSafe(F.col("s")) & (F.col("field_name") == F.col("f")) & (F.col("length") == F.col("l")), "left_semi"
     )
     keep = ["result_key", "source", "field_name"]
-    return rows.where("is_cut").select(keep).unionByName(at_limit.select(keep)).unionByName(found).distinct()
+    return rows.where("evidence is not null").select(*keep, "evidence").unionByName(at_limit.select(*keep, F.lit("limit").alias("evidence"))).unionByName(found).groupBy(keep).agg(F.min("evidence").alias("evidence"))
 
 
 def rates(results: DataFrame) -> DataFrame:

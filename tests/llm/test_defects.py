@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import random
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ ENDS = "before the long weekend,after the second attempt,because the space was s
 GERMAN = ["Der Bericht zeigt die Belege und das Ergebnis der Woche.", "Die Liste wird nach der Prüfung nicht mehr geändert.", "Es ist unklar, ob das Archiv die Fragen noch vor dem Wochenende klärt.", "Das Team hat den Auszug mit der Quelle verglichen."]
 
 
+#: Wordings that no training text has.
+REFUSED = ["I'm sorry, I can't do that for you.", "Sorry, this I will not answer.", "I cannot assist with this text.", "I decline to give a summary of the note.", "Unfortunately I'm not able to look into it.", "As an AI, I won't comment on the list.", "I refuse to write this.", "I am not allowed to share an answer.", "My rules don't let me help with this."]
+
+
 def sentence(rng: random.Random) -> str:
     return f"{rng.choice(SUBJECTS)} {rng.choice(VERBS)} {rng.choice(THINGS)} {rng.choice(ENDS)}."
 
@@ -41,7 +47,7 @@ def broken():
                 at += 1
             r = r[:at]
         elif kind == "refusal":
-            r = pairs.refusal(rng, "en")
+            r = rng.choice(REFUSED)
         elif kind == "copied_prompt":
             r = rng.choice([p, p.upper(), "> " + p, "You asked: " + p])
         elif kind == "other_language":
@@ -81,10 +87,45 @@ def test_content():
     assert said.split() == ["x", "y", "item"] and not is_json
 
 
+TASKS = {
+    "en": ["Summarize the note.", "Say in one line what the letter is about.", "Which tasks are left, and who has them?", "Give a title and three points."],
+    "de": ["Fasse den Brief kurz zusammen.", "Worum geht es in dem Schreiben?", "Welche Aufgaben bleiben noch übrig?", "Gib einen Titel und drei Punkte an."],
+    "fr": ["Résume la lettre et indique les points de désaccord.", "Donne les idées principales de lettre-12.txt sous forme de tableau.", "De quoi parle la note ?", "Quelles tâches restent à faire, et pour qui ?"],
+    "es": ["Resume la carta e indica los puntos de desacuerdo.", "Da las ideas principales de carta-12.txt en forma de tabla.", "¿De qué trata la nota?", "¿Qué tareas quedan por hacer, y para quién?"],
+}
+ASKED = [(" Answer in German.", "de"), (" Antworte auf Französisch.", "fr"), (" Réponds en espagnol.", "es"), (" Responde en inglés.", "en"), ("\nOutput language: Spanish", "es")]
+
+
 def test_asked_language():
-    for prompt, want in [("Summarize it. Answer in German.", "de"), ("Fasse den Text zusammen. Antworte auf Englisch.", "en"), ("Résume la note et indique les questions.", "fr"), ("Resume la nota y las preguntas.", "es"), ("", None)]:
-        i = pairs.asked_language(prompt)
-        assert (pairs.LANGUAGES[i] if i >= 0 else None) == want
+    """Every task of every language, alone and asking for another language; the model knows no text but the frequent words."""
+    known = pairs.Languages.fit([])
+    for want, tasks in TASKS.items():
+        for task in tasks:
+            for more, asked in [("", want), *ASKED]:
+                assert pairs.LANGUAGES[known.asked(task + more)] == asked, task + more
+    assert known.asked("") == -1 and known.asked("12 34") == -1
+    assert pairs.LANGUAGES[known.asked("Who gave the French lesson and the German one?")] == "en"
+
+
+def test_training_texts_are_not_of_the_tables():
+    """No longer part of a training sentence stands in the test tables, where these are there."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    columns = [("documents", "text"), ("model_results", "prompt"), ("model_results", "raw_response"), ("model_results", "markdown"), ("text_chunks", "text")]
+    texts = "\n".join(v for t, c in columns for v in pq.read_table(f"{folder}/{t}.parquet", columns=[c]).column(0).to_pylist() if v).lower()
+    made = [x for parts in pairs.REFUSALS.values() for values in parts for x in values] + pairs.FOREIGN_QUOTE
+    made += [x for table in (pairs.TOLD, pairs.TERSE, pairs.CLOSINGS) for values in table.values() for x in values]
+    parts = [p.strip(" .…?,").lower() for x in made for p in x.split("{}")]
+    assert not [p for p in parts if len(p.split()) >= 5 and p in texts]
+    whole = {x.strip().lower() for x in made if "{}" not in x and len(x.split()) >= 2}
+    responses = pq.read_table(f"{folder}/model_results.parquet", columns=["raw_response"]).column(0).to_pylist()
+    assert not whole & {v.strip().lower() for v in responses if v}
+
+
+def test_open_json():
+    for value, end in [('{"a": "The cat', ("json", "The", "cat")), ('{"a": "x y", "list": ["b", "c"]', ("json", "b", "c")), ('{"a": ["x"], "list": [', ("json", "x", "list")), ('{"a": "say \\"no\\""}', None), ('```json\n["a", "b"]\n```', None), ('{"a":"b","c":"d', ("json", "c", "d"))]:
+        assert truncation.open_end(value) == end, value
 
 
 def test_cut_values(spark):
@@ -168,6 +209,6 @@ def test_made_ends_are_only_looked_up(spark):
     cuts = [("The archive keeps a zebraw", whole), (rows[0][2][:32], rows[0][2])]
     ends = [(-1 - i, *truncation.open_end(v), *truncation.own_counts(v, o)) for i, (v, o) in enumerate(cuts)]
     assert {r.result_key for r in truncation.truncated(df, spark.createDataFrame(ends, schema)).collect()} == {-2}
-    made = pairs.examples([sound(random.Random(i)) for i in range(60)])
+    made = pairs.examples(pairs.Languages.fit([]), [sound(random.Random(i)) for i in range(60)])
     held = [m for m in made[:-6 * (len(pairs.EMPTIES) + 1)] if m[3] % 5 == 0]
     assert {m[0] for m in held if m[2] >= 0} <= {sound(random.Random(i))[0] for i in range(0, 60, 5)}
