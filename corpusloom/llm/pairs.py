@@ -360,7 +360,7 @@ class Linear:
                 best = int(f1.argmax())
                 low = scored[order[best + 1], k] if best + 1 < len(order) else scored[order[best], k] - 1
                 # Never above even odds, as made pairs are told apart more easily than real ones, nor far below.
-                thresholds[k] = np.clip((scored[order[best], k] + low) / 2, -1.0, 0.0)
+                thresholds[k] = np.clip((scored[order[best], k] + low) / 2, -0.25, 0.0)
         return cls(weights.astype(np.float32), thresholds)
 
     def defects(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> list[str | None]:

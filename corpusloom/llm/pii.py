@@ -3,19 +3,27 @@
 The field's nodes are the spans of a text that could be personal data by their form (addresses with @ or spelled out,
 groups of digits, runs of names, numbers next to street words); every other token is certain to be none and is left out of
 the chain.  A node's label is none or one of TYPES.  There are chain links between neighbours within a short distance,
-and skip links between distant nodes that repeat each other (the same family name, the same digits, the same address), so
-that what a clear place tells holds for an unclear one.  Loopy message passing, for all texts of a batch at once, gives
+and skip links between distant nodes that repeat or resemble each other (the same family name, however it is written; the
+same last digits; the same address, spelled out or short) or belong together (an e-mail address and the family name in it),
+so that what a clear place tells holds for an unclear one.  Loopy message passing, for all texts of a batch at once, gives
 each node's label.
 
-The weights are trained where the operator runs, by pseudo-likelihood on documents made by llm.pii_training.  A text is one
-row and never leaves its task; nothing is shuffled.
+The weights are trained by pseudo-likelihood on documents made by llm.pii_training, once per driver.  A text is one row and
+never leaves its task; nothing is shuffled.
+
+What is no candidate is not found: local parts of addresses are looked for in the 80 characters before the sign, streets in
+the 60 before a house number and the 45 after it, and names by their capitals, an initial or a listed given name.
 """
 
 from __future__ import annotations
 
+import base64
+import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import pii_training as made
+from corpusloom.llm.tokenizer import DEFAULT_VOCABULARY
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
 LABELS = len(TYPES) + 1  # 0 is none
 HASHED = 1 << 15
-TRAINING_DOCUMENTS = 3_500
-EPOCHS = 90
-ROUNDS = 4
+TRAINING_DOCUMENTS = 2_500
+EPOCHS = 60
+#: Most rounds of messages; they end where no message changes by more than SETTLED.
+ROUNDS, SETTLED = 30, 1e-3
 SEED = 11
 #: Longest distance of a chain link, by kind of link, in characters.
 CHAIN = (3, 25, 90)
+#: Kinds of link: of the chain, between nodes alike, from an address to a name and from a name to an address.
+LINKS = len(CHAIN) + 3
 
 _UP = "".join(c for c in map(chr, range(0x41, 0x250)) if c.isupper())
 _LOW = "".join(c for c in map(chr, range(0x61, 0x250)) if c.islower())
@@ -51,21 +63,29 @@ TOKEN = re.compile(rf",? ?((?:{PARTICLE} )?{_NAME})")
 LOW_NAME = re.compile(rf"((?:[{_LOW}]\. |{'|'.join(sorted(map(re.escape, GIVEN), key=len, reverse=True))} )?)((?:{PARTICLE} )?(?:d['’])?(?!(?:and|und|et|y|or|the|is|was|to|at|of|for|has|des|der|les)\b)[{_LOW}][\w'’]{{2,}}(?:-[\w'’]+)*)")
 LOW_LAST = re.compile(rf"(?<![\w'’-])((?:{PARTICLE} )?[{_LOW}][\w'’]{{2,}}(?:-[\w'’]+)*), \Z")
 _S = r"[ .\-/\u2011\u00a0\u202f]"
-NUMBER = re.compile(rf"(?<![\w.,:/+\-@\\])(?:\+ ?|\()?\(?\d+(?:(?:\){_S}?|{_S}\(?|\()\d+)*")
+NUMBER = re.compile(rf"(?:(?<![\w.,:/+\-@\\])|(?<=[A-Za-z]:))(?:\+ ?|\()?\(?\d+(?:(?:\){_S}?|{_S}\(?|\()\d+)*")
 EXTENSION = re.compile(r"\)? ?(?:ext\.?|x|extension|Durchwahl|poste) ?\d{1,5}\b", re.I)
 DATE = re.compile(r"(?:19|20)\d\d-\d\d-\d\d(?!\d)")
 JOINED = re.compile(r"(?<=[A-Za-z])\d{6,8}[A-Za-z]?(?![\w-])")
 STREET_WORDS = r"street|st|road|rd|avenue|ave|lane|ln|drive|dr|court|ct|way|place|close|crescent|terrace|boulevard|blvd|square|sq|row|hill|gardens|grove|mews|walk|highway|parkway|pkwy|alley|yard|quay"
 EN_STREET = re.compile(rf"[a-zA-Z]?,? ((?:[A-Za-z][\w'’]*\.? ){{1,4}}?)(?:{STREET_WORDS})\b\.?", re.I)
-FR_STREET = re.compile(rf"[a-zA-Z]?(?: (?:bis|ter|quater))?,? (?:{'|'.join(made.TYPE_FR)}|bd|av\.)\s(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[\w'’-]+(?: [{_UP}][\w'’-]+)*", re.I)
+FR_STREET = re.compile(rf"[a-zA-Z]?(?: (?:bis|ter|quater))?,? (?:{'|'.join(made.STREETS['fr'][1])}|bd|av\.)\s(?:(?:de la|de l['’]|des|du|de|d['’])\s?)?[\w'’-]+(?: [{_UP}][\w'’-]+)*", re.I)
 DE_STREET = re.compile(rf"(?:(?:Am|An der|Auf der|Auf dem|Im|In der|Zum|Zur|Hinter der|Hinter dem|Unter den) (?:[{_UP}][\w-]+ ){{1,2}}|(?:[{_UP}][\w-]+[ -])?[{_UP}][\w-]*?\w(?:straße|strasse|str\.|weg|allee|platz|ring|gasse|damm|ufer|steig|pfad|hof|markt) )\Z|[{_UP}]{{4,}}(?:STRASSE|STR\.|WEG|ALLEE|PLATZ|RING|GASSE|DAMM|UFER|HOF) \Z|\b[a-zäöüß]{{2,}}(?:straße|strasse|str\.|allee|platz|gasse|damm|ring|weg|ufer) \Z")
 DE_ENDS = ("straße ", "strasse ", "str. ", "weg ", "allee ", "platz ", "ring ", "gasse ", "damm ", "ufer ", "steig ", "pfad ", "hof ", "markt ")
 ES_STREET = re.compile(r"(?:\b(?:calle|avenida|avda\.?|plaza|paseo|camino|ronda|travesía|carrera)|\bc/) (?:[\w'’.-]+ ?){1,5}(?:,? ?(?:n[º°o]\.?|núm\.?|número) ?|, ?| )\Z", re.I)
 ES_KEYS = ("alle ", "venida ", "vda", "laza ", "aseo ", "amino ", "onda ", "ravesía ", "/ ")
 AT = re.compile(r" ?[\[({] ?(?:at|ät|arroba|arobase|chez) ?[\])}] ?| AT (?=[\w-]+ DOT )| (?:at|arroba|arobase) (?=[\w-]+ (?:dot|punto|point|punkt) )", re.I)
+SPACED_AT = re.compile(r" ?[\[({] ?(?:at|arroba|arobase|chez) ?[\])}] ?| (?:at|arroba|arobase) ")
+SPACED_DOT = re.compile(r" ?[\[({] ?(?:dot|punto|point|punkt) ?[\])}] ?| (?:dot|punto|point|punkt) ")
 LOCAL = re.compile(r"[\w.+\-'’]+\Z")
 HOST = re.compile(r"[\w-]+(?:\.[\w-]+)+")
+TOP = re.compile(r"[^\W\d_]{2,}\Z")  # a top domain has letters only
 SPELLED_HOST = re.compile(r"[\w-]+(?:(?: ?[\[({] ?(?:dot|punto|point|punkt) ?[\])}] ?| (?:dot|punto|point|punkt) |\.)[\w-]+)+", re.I)
+# What an address that is spelled out holds.
+SPELLED = ("dot", "punto", "punkt", "(point", "[point", "{point", " point ", "at)", "at ]", "at]", "at}", "at )", "ät)", "ät]", "arroba", "arobase", "chez)", "chez]")
+HOUSE = re.compile(r"\d{1,5}|\d{1,4}-\d{1,4}")
+DE_BEFORE = re.compile(r"\b(?:Am|An der|Auf de[rm]|Im|Zu[mr]|In der|Unter den|Hinter de[rm]) (?:[^\W\d_]+ ){1,2}\Z")
+STREET_SHORT = {"street": "st", "road": "rd", "avenue": "ave", "lane": "ln", "drive": "dr", "court": "ct", "boulevard": "blvd", "strasse": "str", "straße": "str", "avenida": "avda", "calle": "c"}
 WORD = re.compile(r"[\w'’°º]+|[^\w\s]")
 
 _IDS: dict[str, int] = {}
@@ -80,6 +100,20 @@ def _h(s: str) -> int:
     return i
 
 
+@lru_cache(maxsize=2)
+def common_words(folder: str) -> frozenset[str]:
+    """Words in lower case that are single tokens of the public vocabularies in a folder, so frequent words of many languages;
+    none where the files are missing."""
+    out = set()
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken"):
+        path = os.path.join(folder, name)
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+            out |= {t[1:].decode("utf-8", "replace") for t in tokens if t[:1] == b" "}
+    return frozenset(w for w in out if len(w) > 2 and w.isalpha() and w.islower())
+
+
 def _low_given() -> object:
     import ahocorasick
 
@@ -102,11 +136,11 @@ def emails(text: str) -> Iterator[tuple[int, int, str]]:
         left, host = LOCAL.search(text, max(0, at - 80), at - gap), HOST.match(text, at + 1 + gap)
         if left and host:
             start = left.start() + len(left.group()) - len(left.group().lstrip(".-'’"))
-            if start < at - gap:
+            if start < at - gap and TOP.search(host.group()):
                 yield start, host.end(), "plain"
         at = text.find("@", at + 1)
-    low = text if "(" in text or "[" in text or " AT " in text or " at " in text or "{" in text else ""
-    if low and ("dot" in low or "DOT" in low or "at)" in low or "AT)" in low or "at]" in low or "AT]" in low or "arroba" in low or "at}" in low):
+    low = text.lower()
+    if any(map(low.__contains__, SPELLED)):
         for m in AT.finditer(text):
             left, host = LOCAL.search(text, max(0, m.start() - 80), m.start()), SPELLED_HOST.match(text, m.end())
             if left and host:
@@ -121,7 +155,7 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
         s, e = m.span()
         g = m.group()
         n = len(g)
-        if n <= 5 and g.isdigit():  # a house number?
+        if n <= 9 and HOUSE.fullmatch(g):  # a house number?
             after = text[e : e + 1]
             if after == " " or after == "," or after.isalpha():
                 x = EN_STREET.match(text, e)
@@ -140,7 +174,7 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
                         yield s, y.end(), "street_fr"
                         continue
             back = text[max(0, s - 60) : s]
-            if back.endswith(DE_ENDS) or back[-7:].isupper() or " Alten " in back[-30:] or re.search(r"\b(?:Am|An der|Auf de[rm]|Im|Zu[mr]|In der) [^\W\d_]+ \Z", back):
+            if back.endswith(DE_ENDS) or back[-7:].isupper() or DE_BEFORE.search(back):
                 x = DE_STREET.search(back)
                 if x:
                     yield s - len(back) + x.start(), e + (after.isalpha() and not text[e + 1 : e + 2].isalnum()), "street_de"
@@ -149,7 +183,7 @@ def numbers(text: str) -> Iterator[tuple[int, int, str]]:
                 x = ES_STREET.search(back)
                 if x:
                     yield s - len(back) + x.start(), e + (after.isalpha() and not text[e + 1 : e + 2].isalnum()), "street_es"
-            continue
+                    continue
         if n < 6:
             continue
         d = sum(map(str.isdigit, g))
@@ -192,6 +226,8 @@ def _name_span(tokens: list[tuple[str, int, int]]) -> tuple[int, int, str] | Non
             j = i + 1
             while j < n - 1 and (given[j] or initial[j]):
                 j += 1
+            if initial[i] and i and len(tokens[i - 1][0]) > 2 and low[i - 1] not in OPENERS and low[i - 1] not in TITLES:
+                return i - 1, j, "uif"  # a given name that is not listed before the initial
             if j < n:
                 return i, j, ("g" if given[i] else "i") + ("x" if j > i + 1 else "") + "f"
             if i and low[i - 1] not in OPENERS and low[i - 1] not in TITLES:
@@ -230,6 +266,10 @@ def names(text: str) -> Iterator[tuple[int, int, str]]:
                         yield start - (len(x.group(1)) if x else 0), e, "f,g" if w.lower() in GIVEN else "f,i"
                         k += 2
                         continue
+                elif len(here) == 1 and len(after) == 1 and w.lower() not in OPENERS and here[0][0].lower() not in TITLES:
+                    yield here[0][1], after[0][2], "u,u"
+                    k += 2
+                    continue
             found = _name_span(here)
             if found:
                 yield here[found[0]][1], here[found[1]][2], found[2]
@@ -252,13 +292,31 @@ def shape(s: str) -> str:
     return re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", s)))[:24]
 
 
-def nodes(text: str) -> list[tuple[int, int, str, str, str]]:
-    """Nodes of a text in order: (start, end, form, how, key of the skip links).  Of overlapping ones, the first form holds."""
-    taken: list[tuple[int, int, str, str]] = [(s, e, "email", how) for s, e, how in emails(text)]
-    spans = sorted(taken)
+def _plain(s: str) -> str:
+    """Lower case without accents."""
+    return s.lower() if s.isascii() else "".join(c for c in unicodedata.normalize("NFKD", s.lower()) if not unicodedata.combining(c))
+
+
+def keys(form: str, surface: str) -> tuple[str, str]:
+    """(what nodes that resemble each other share, what nodes that belong together share) - the latter may be empty."""
+    low = _plain(surface)
+    if form == "name":
+        family = low.split(",")[0].split(" ")[-1] if "," in low else low.split(" ")[-1]
+        return "n" + family, family.split("-")[0].replace("'", "")
+    if form == "number":
+        return "d" + "".join(filter(str.isalnum, low))[-8:], ""
+    if form == "email":
+        address = SPACED_AT.sub("@", SPACED_DOT.sub(".", low)).replace(" ", "")
+        parts = [p for p in re.split(r"[^a-z]+", address.split("@")[0]) if len(p) > 3]
+        return "e" + address, parts[-1] if parts else ""
+    return "s" + " ".join(STREET_SHORT.get(w, w) for w in re.findall(r"\w+", low)), ""
+
+
+def nodes(text: str) -> list[tuple[int, int, str, str]]:
+    """Nodes of a text in order: (start, end, form, how).  Of overlapping ones, the first form holds."""
     out: list[tuple[int, int, str, str]] = []
     last = -1
-    for x in spans:
+    for x in sorted((s, e, "email", how) for s, e, how in emails(text)):
         if x[0] >= last:
             out.append(x)
             last = x[1]
@@ -274,23 +332,12 @@ def nodes(text: str) -> list[tuple[int, int, str, str, str]]:
                     out[-1] = x
                 continue
             out.append(x)
-    result = []
-    for s, e, form, how in out:
-        surface = text[s:e]
-        if form == "name":
-            low = surface.lower()
-            key = "n" + (low.split(",")[0] if "," in low else low.split(" ")[-1])
-        elif form == "number":
-            key = "d" + "".join(filter(str.isalnum, surface)).lower()
-        else:
-            key = form[0] + surface.lower()
-        result.append((s, e, form, how, key))
-    return result
+    return out
 
 
-def observed(text: str, node: tuple[int, int, str, str, str]) -> list[int]:
+def observed(text: str, node: tuple[int, int, str, str], common: frozenset[str]) -> list[int]:
     """Hashed features of a node: its form and what stands around it."""
-    s, e, form, how, _ = node
+    s, e, form, how = node
     surface = text[s:e]
     before = WORD.findall(text[max(0, s - 32) : s].lower())
     after = WORD.findall(text[e : e + 22].lower())
@@ -298,6 +345,9 @@ def observed(text: str, node: tuple[int, int, str, str, str]) -> list[int]:
     a1, a2 = ([*after, "", ""])[:2]
     f = form
     feats = [f, f + how, f + "<" + b1, f + "<<" + b2 + "_" + b1, f + "b2" + b2, f + "b3" + b3, f + ">" + a1, f + ">>" + a1 + "_" + a2, f + "w" + how + b1]
+    told = [w for w in before if w[-1].isalnum()][-2:]
+    if told:
+        feats += [f + "t" + told[-1], f + how + "t" + told[-1], f + "tt" + "_".join(told)]
     if s == 0 or text[s - 1] == "\n":
         feats.append(f + "line" + ("end" if text[e : e + 1] in ("\n", "") else ""))
     if form == "name":
@@ -305,9 +355,12 @@ def observed(text: str, node: tuple[int, int, str, str, str]) -> list[int]:
         family = words[0] if how.startswith("f,") or how == "fg" else words[-1]
         low = family.lower()
         head = text.rfind("\n", 0, s)
-        feats += [f + "s3" + low[-3:], f + "s4" + low[-4:], f + "s5" + low[-5:], f + "p3" + low[:3], f + "p4" + low[:4], f + "len" + str(min(len(words), 5)), f + "h" + str(text[head + 1 : head + 2] == "#" and "otes for" not in text[head + 1 : s])]
-        if how in ("uu", "tu"):
-            feats += [f + "u" + w.lower() for w in words] + [f + how + "s3" + low[-3:]]
+        feats += [f + "s3" + low[-3:], f + "s4" + low[-4:], f + "s5" + low[-5:], f + "p3" + low[:3], f + "p4" + low[:4], f + "len" + str(min(len(words), 5)), f + "h" + str(text[head + 1 : head + 2] == "#")]
+        known = "".join("c" if w.lower() in common else "i" if len(w) < 3 else "x" for w in words)
+        feats += [f + how + ("up" if surface.isupper() else "") + "n" + str(len(words)), f + "k" + known, f + how + "k" + known, f + how + "kf" + known[0] + known[-1]]
+        if how in ("uu", "tu", "u,u", "uif"):
+            first = (words[-1] if how == "u,u" else words[0]).lower()
+            feats += [f + "u" + w.lower() for w in words] + [f + how + "s3" + low[-3:], f + "g2" + first[-2:], f + "g3" + first[-3:], f + "gp" + first[:3], f + "gl" + str(min(len(first), 9)), f + "gs1" + first[-1:]]
     else:
         bare = EXTENSION.sub("", surface) if how == "digits" else surface
         sh = shape(bare)
@@ -322,9 +375,9 @@ def observed(text: str, node: tuple[int, int, str, str, str]) -> list[int]:
 class Graph:
     """Nodes of a batch of texts with their links, as arrays."""
 
-    def __init__(self, texts: list[str | None]):
+    def __init__(self, texts: list[str | None], common: frozenset[str] = frozenset()):
         self.of: list[int] = []
-        self.nodes: list[tuple[int, int, str, str, str]] = []
+        self.nodes: list[tuple[int, int, str, str]] = []
         feats: list[int] = []
         sizes: list[int] = []
         left: list[int] = []
@@ -334,29 +387,38 @@ class Graph:
             if not text:
                 continue
             found = nodes(text)
-            latest: dict[str, int] = {}
+            alike: dict[str, int] = {}
+            kin: dict[str, tuple[int, str]] = {}
             for i, node in enumerate(found):
                 n = len(self.nodes)
-                obs = observed(text, node)
+                obs = observed(text, node, common)
                 feats += obs
                 sizes.append(len(obs))
                 self.of.append(k)
                 self.nodes.append(node)
-                if i:
-                    gap = node[0] - found[i - 1][1]
-                    for c, most in enumerate(CHAIN):
-                        if gap <= most:
-                            left.append(n - 1)
-                            right.append(n)
-                            kind.append(c)
-                            break
-                # A skip link to the last node with the same key; repeats are linked through each other.
-                before = latest.get(node[4])
-                if before is not None and (before != n - 1 or node[0] - found[i - 1][1] > CHAIN[-1]):
+                gap = node[0] - found[i - 1][1] if i else CHAIN[-1] + 1
+                for c, most in enumerate(CHAIN):
+                    if gap <= most:
+                        left.append(n - 1)
+                        right.append(n)
+                        kind.append(c)
+                        break
+                # A skip link to the last node that this one resembles; repeats are linked through each other.
+                key, family = keys(node[2], text[node[0] : node[1]])
+                before = alike.get(key)
+                if before is not None and (before != n - 1 or gap > CHAIN[-1]):
                     left.append(before)
                     right.append(n)
                     kind.append(len(CHAIN))
-                latest[node[4]] = n
+                alike[key] = n
+                # And one to the last node of the other form with the same family name.
+                if family:
+                    other = kin.get(family)
+                    if other is not None and other[1] != node[2] and (other[0] != n - 1 or gap > CHAIN[-1]):
+                        left.append(other[0])
+                        right.append(n)
+                        kind.append(len(CHAIN) + 1 + (node[2] == "email"))
+                    kin[family] = (n, node[2])
         self.feats = np.array(feats, np.int64)
         self.ends = np.cumsum(np.array(sizes, np.int64)) if sizes else np.zeros(0, np.int64)
         self.left, self.right, self.kind = np.array(left, np.int64), np.array(right, np.int64), np.array(kind, np.int64)
@@ -370,14 +432,20 @@ class Graph:
 class Field:
     """A trained skip-chain conditional random field."""
 
-    def __init__(self, weights: np.ndarray, links: np.ndarray):
+    def __init__(self, weights: np.ndarray, links: np.ndarray, vocabulary: str = DEFAULT_VOCABULARY):
         self.weights, self.links = weights, links  # HASHED x LABELS; kinds of link x LABELS x LABELS
+        self.vocabulary = vocabulary
+
+    def graph(self, texts: list[str | None]) -> Graph:
+        return Graph(texts, common_words(self.vocabulary))
 
     @classmethod
-    def train(cls, seed: int = SEED, documents: int = TRAINING_DOCUMENTS) -> Field:
-        maker = made.Maker(seed)
+    @lru_cache(maxsize=4)
+    def train(cls, seed: int = SEED, documents: int = TRAINING_DOCUMENTS, part: bool | None = None, languages: tuple[str, ...] = made.LANGUAGES, vocabulary: str = DEFAULT_VOCABULARY) -> Field:
+        """Trained on made documents; without the values held out if part is False.  A driver trains once per set of arguments."""
+        maker = made.Maker(seed, part, languages)
         docs = [maker.document() for _ in range(documents)]
-        g = Graph([d[0] for d in docs])
+        g = Graph([d[0] for d in docs], common_words(vocabulary))
         gold = [{(s, t) for s, _, t in spans} for _, spans in docs]
         y = np.zeros(len(g.nodes), np.int64)
         for i, (k, node) in enumerate(zip(g.of, g.nodes, strict=True)):
@@ -386,7 +454,7 @@ class Field:
                     y[i] = t
         n = len(y)
         target = np.eye(LABELS)[y]
-        w, links = np.zeros((HASHED, LABELS)), np.zeros((len(CHAIN) + 1, LABELS, LABELS))
+        w, links = np.zeros((HASHED, LABELS)), np.zeros((LINKS, LABELS, LABELS))
         w2, l2 = np.full_like(w, 1e-3), np.full_like(links, 1e-3)
         of_feat = np.repeat(np.arange(n), np.diff(np.concatenate([[0], g.ends])))
         yl, yr = y[g.left], y[g.right]
@@ -398,14 +466,14 @@ class Field:
             error = p / p.sum(axis=1, keepdims=True) - target
             slope = np.column_stack([np.bincount(g.feats, error[of_feat, c], HASHED) for c in range(LABELS)]) / n + 3e-6 * w
             w2 += slope**2
-            w -= 0.35 * slope / np.sqrt(w2)
+            w -= 0.45 * slope / np.sqrt(w2)
             ls = np.zeros_like(links)
             np.add.at(ls, (g.kind, yl), error[g.right])
             np.add.at(ls.transpose(0, 2, 1), (g.kind, yr), error[g.left])
             ls = ls / n + 1e-5 * links
             l2 += ls**2
-            links -= 0.2 * ls / np.sqrt(l2)
-        return cls(w.astype(np.float32), links)
+            links -= 0.3 * ls / np.sqrt(l2)
+        return cls(w.astype(np.float32), links, vocabulary)
 
     def labels(self, g: Graph) -> np.ndarray:
         """Each node's label by loopy message passing (sum-product, in logarithms)."""
@@ -429,12 +497,16 @@ class Field:
             new_r = np.log(np.exp(a - a.max(axis=1, keepdims=True)).sum(axis=1)) + a.max(axis=1)
             a = out_r[:, None, :] + pot
             new_l = np.log(np.exp(a - a.max(axis=2, keepdims=True)).sum(axis=2)) + a.max(axis=2)
-            to_right, to_left = new_r - new_r.max(axis=1, keepdims=True), new_l - new_l.max(axis=1, keepdims=True)
+            new_r, new_l = new_r - new_r.max(axis=1, keepdims=True), new_l - new_l.max(axis=1, keepdims=True)
+            change = max(np.abs(new_r - to_right).max(), np.abs(new_l - to_left).max())
+            to_right, to_left = new_r, new_l
+            if change < SETTLED:
+                break
         return total().argmax(axis=1)
 
 
 def _run(field: Field, texts: list[str | None]) -> tuple[Graph, np.ndarray]:
-    g = Graph(texts)
+    g = field.graph(texts)
     return g, field.labels(g)
 
 
@@ -445,11 +517,11 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", field: F
     are not read.
     """
     field = field or Field.train()
-    weights, links = field.weights, field.links
+    weights, links, vocabulary = field.weights, field.links, field.vocabulary
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Field(weights, links)
+        mine = Field(weights, links, vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             g, found = _run(mine, texts)
@@ -473,11 +545,11 @@ def find(documents: DataFrame, key: str = "doc_id", text: str = "text", field: F
 def redact(documents: DataFrame, key: str = "doc_id", text: str = "text", field: Field | None = None) -> DataFrame:
     """(key, text) with each occurrence replaced by [TYPE], the rest unchanged; a null text stays null."""
     field = field or Field.train()
-    weights, links = field.weights, field.links
+    weights, links, vocabulary = field.weights, field.links, field.vocabulary
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Field(weights, links)
+        mine = Field(weights, links, vocabulary)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             g, found = _run(mine, texts)

@@ -1,70 +1,128 @@
-"""Personal data: held-out accuracy on made documents, exact places, and the skip links' effect."""
+"""Personal data: accuracy on held-out wordings, names and streets, exact places, and the skip links' effect."""
 
 from __future__ import annotations
 
+import os
+import re
+
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from corpusloom.llm import pii
+from corpusloom.llm import pii, pii_training
 from corpusloom.llm.pii_training import Maker
 
 
 @pytest.fixture(scope="module")
 def field():
-    return pii.Field.train(documents=1500)
+    return pii.Field.train()
+
+
+@pytest.fixture(scope="module")
+def part_field():
+    """Trained without every third wording, name and street."""
+    return pii.Field.train(documents=1500, part=False)
 
 
-def test_held_out_accuracy(field):
-    maker = Maker(4321)
+def graph_and_truth(field, documents):
+    g = field.graph([d[0] for d in documents])
+    gold = [{s: t for s, _, t in spans} for _, spans in documents]
+    truth = [pii.TYPES.index(gold[k][n[0]]) + 1 if n[0] in gold[k] else 0 for k, n in zip(g.of, g.nodes, strict=True)]
+    return g, np.array(truth)
+
+
+def test_held_out_accuracy(part_field):
+    maker = Maker(4321, True)
     docs = [maker.document() for _ in range(300)]
-    g = pii.Graph([d[0] for d in docs])
-    labels = field.labels(g)
-    got = {(g.of[i], pii.TYPES[c - 1], g.nodes[i][0]) for i, c in enumerate(labels) if c}
+    g = part_field.graph([d[0] for d in docs])
+    got = {(g.of[i], pii.TYPES[c - 1], g.nodes[i][0]) for i, c in enumerate(part_field.labels(g)) if c}
     want = {(k, t, s) for k, (_, spans) in enumerate(docs) for s, _, t in spans}
+    assert len(got & want) >= 0.88 * len(want) and len(got & want) >= 0.92 * len(got), (len(got), len(want), len(got & want))
     for t in pii.TYPES:
         a, b = {x for x in got if x[1] == t}, {x for x in want if x[1] == t}
-        assert len(a & b) >= 0.93 * len(a) and len(a & b) >= 0.93 * len(b), (t, len(a), len(b), len(a & b))
+        assert len(a & b) >= 0.8 * len(a) and len(a & b) >= 0.8 * len(b), (t, len(a), len(b), len(a & b))
+
+
+def test_skip_links_change_labels(part_field):
+    """Labels that the skip links change are more often right with them than without."""
+    maker = Maker(4321, True)
+    g, truth = graph_and_truth(part_field, [maker.document() for _ in range(1500)])
+    linked = part_field.labels(g)
+    chain = g.kind < len(pii.CHAIN)
+    g.left, g.right, g.kind = g.left[chain], g.right[chain], g.kind[chain]
+    alone = part_field.labels(g)
+    changed = linked != alone
+    assert changed.sum() >= 10 and (linked == truth)[changed].sum() > 2 * (alone == truth)[changed].sum()
+
+
+def test_skip_links_join_what_is_alike():
+    far = "Some words in between. " * 20
+    for a, b, kind in [
+        ("Yours,\nLena Hartwig", "L. Hartwig said so.", len(pii.CHAIN)),
+        ("Yours,\nPaul Lefèvre", "paul lefevre said so.", len(pii.CHAIN)),
+        ("Ring +49 30 1234567 now.", "Or 030/1234567 later.", len(pii.CHAIN)),
+        ("I live at 12 Elm Street.", "She left 12 elm st. early.", len(pii.CHAIN)),
+        ("Mail a.b@mail.test now.", "Or a.b [at] mail [dot] test later.", len(pii.CHAIN)),
+        ("Yours,\nLena Hartwig", "Mail lena.hartwig@mail.test now.", len(pii.CHAIN) + 2),
+        ("Mail lena.hartwig@mail.test now.", "Yours,\nLena Hartwig", len(pii.CHAIN) + 1),
+    ]:
+        g = pii.Graph([a + ".\n" + far + b])
+        assert kind in g.kind.tolist(), (a, b, g.nodes)
+
+
+def test_training_texts_are_not_of_the_tables():
+    """No longer part of a frame or look-alike stands in the test tables, where these are there."""
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    columns = [("documents", "text"), ("model_results", "raw_response"), ("text_chunks", "text")]
+    texts = "\n".join(v for t, c in columns for v in pq.read_table(f"{folder}/{t}.parquet", columns=[c]).column(0).to_pylist() if v).lower()
+    made = [x for name in dir(pii_training) if name.endswith("FRAMES") or name in ("NOT_NAMES", "PLAIN") for values in getattr(pii_training, name).values() for x in values]
+    made += [x for _, _, _, frames in pii_training.CODES.values() for x in frames] + pii_training.NOT_MAIL + pii_training.NOT_STREETS + pii_training.OTHER_NUMBERS
+    parts = [p.strip(" \n.,;:").lower() for x in made for p in re.split(r"\{\w*\}", x)]
+    assert not [p for p in parts if len(p.split()) >= 4 and p in texts]
+    streets = [n.lower() for language in ("fr", "es") for n in pii_training.STREETS[language][0] if " " in n]
+    assert not [n for n in streets if n in texts]
 
 
 CASES = [
     ("Write to a.b@mail.example.org now.", "email", "a.b@mail.example.org"),
-    ("Write to noor [at] depot [dot] invalid now.", "email", "noor [at] depot [dot] invalid"),
-    ("😀 call +44 20 7946 0123 after nine.", "phone", "+44 20 7946 0123"),
-    ("or call (224) 555-0106 after nine.", "phone", "(224) 555-0106"),
-    ("SSN 998-21-8345 was typed in.", "id_number", "998-21-8345"),
-    ("Tax reference QQ 76 91 02 D, filed.", "id_number", "QQ 76 91 02 D"),
-    ("passport no. P3194963 (copy attached)", "id_number", "P3194963"),
-    ("Home address on file: 12 Upper Juniper St.", "street_address", "12 Upper Juniper St."),
-    ("Lieferanschrift: Wacholderring 1190, Hinterhaus.", "street_address", "Wacholderring 1190"),
-    ("Le reste est au 1285 ter, allée du Moulin Bleu, car la place manque.", "street_address", "1285 ter, allée du Moulin Bleu"),
-    ("Entrega: Plaza del Molino Viejo, nº 1511, segundo piso.", "street_address", "Plaza del Molino Viejo, nº 1511"),
-    ("Minutes taken by Anna O'Halquist.", "person_name", "Anna O'Halquist"),
-    ("cc: Lindholt, Leila; others", "person_name", "Lindholt, Leila"),
-    ("According to Dr. Jan van der Holberg, it is small.", "person_name", "Jan van der Holberg"),
+    ("Mail me at noor [at] letters [dot] test today.", "email", "noor [at] letters [dot] test"),
+    ("Mail jean.martin (arobase) courrier (point) fr", "email", "jean.martin (arobase) courrier (point) fr"),
+    ("😀 call +44 20 7123 4567 for details.", "phone", "+44 20 7123 4567"),
+    ("tel:+49 30 1234567", "phone", "+49 30 1234567"),
+    ("or call (224) 345-0106 for details.", "phone", "(224) 345-0106"),
+    ("SSN 398-21-8345 on file", "id_number", "398-21-8345"),
+    ("His tax number is AB 76 91 02 D.", "id_number", "AB 76 91 02 D"),
+    ("a copy of passport P3194963", "id_number", "P3194963"),
+    ("Address: 12 Upper Cedar St.\n", "street_address", "12 Upper Cedar St."),
+    ("Address: 12-14 Cedar Road\n", "street_address", "12-14 Cedar Road"),
+    ("Anschrift: Ahornring 1190\n", "street_address", "Ahornring 1190"),
+    ("Adresse : 85 ter, allée des Tilleuls\n", "street_address", "85 ter, allée des Tilleuls"),
+    ("Dirección: Plaza de la Fuente, nº 15\n", "street_address", "Plaza de la Fuente, nº 15"),
+    ("Prepared by Anna O'Hartwig in March.", "person_name", "Anna O'Hartwig"),
+    ("cc Lindqvist, Laura; others", "person_name", "Lindqvist, Laura"),
+    ("Dr. Jan van der Holt is away.", "person_name", "Jan van der Holt"),
 ]
 
 
 @pytest.mark.parametrize(("text", "kind", "surface"), CASES)
 def test_cases(field, text, kind, surface):
-    g = pii.Graph([text])
+    g = field.graph([text])
     found = [(pii.TYPES[c - 1], text[n[0] : n[1]]) for n, c in zip(g.nodes, field.labels(g), strict=True) if c]
     assert found == [(kind, surface)]
 
 
-@pytest.mark.parametrize("text", ["", " \n ", "On 2026-08-09 the crew moved 12,345 entries.", "# Modular Context Window\n\nText.", "Build 926-03-0659 was archived without notes.", "Lane 3 of the loading dock is closed.", "Pinned notes@v5.20.4 for the pilot.", "Shell prompt was worker@node-178 when it hung."])
+@pytest.mark.parametrize("text", ["", " \n ", "On 2026-08-09 they moved 12,345 rows.", "# Annual Budget Table\n\nText.", "Invoice 926-03-0659 is overdue.", "Line 3 of the plan is long.", "Use tools@v5.20.4 instead.", "root@node-178 hung."])
 def test_look_alikes(field, text):
-    assert not field.labels(pii.Graph([text])).any()
-
-
-def test_skip_links_join_repeats():
-    g = pii.Graph(["Signed, Mara Holquist\n" + "Some words in between. " * 20 + "\nM. Holquist said so."])
-    assert len(CHAIN := pii.CHAIN) in g.kind.tolist() and len(g.nodes) == 2
+    assert not field.labels(field.graph([text])).any()
 
 
 def test_rows(spark, field):
-    rows = [(1, "Ask Anna Halquist."), (2, None), (3, ""), (4, "x " * 100_000 + "call 020 7946 0123 after nine."), (1, "Ask Anna Halquist.")]
+    rows = [(1, "I spoke with Anna Hartwig."), (2, None), (3, ""), (4, "x " * 100_000 + "call 020 7123 4567 for details."), (1, "I spoke with Anna Hartwig.")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as char_start", "'q' as pii_type")
     got = sorted((r.doc_id, r.pii_type, r.char_start, r.surface) for r in pii.find(df, field=field).collect())
-    assert got == [(1, "person_name", 4, "Anna Halquist"), (1, "person_name", 4, "Anna Halquist"), (4, "phone", 200_005, "020 7946 0123")]
+    assert got == [(1, "person_name", 13, "Anna Hartwig"), (1, "person_name", 13, "Anna Hartwig"), (4, "phone", 200_005, "020 7123 4567")]
     texts = sorted((r.doc_id, r.text) for r in pii.redact(df, field=field).where("doc_id < 4").collect() if r.text is not None)
-    assert texts == [(1, "Ask [PERSON_NAME]."), (1, "Ask [PERSON_NAME]."), (3, "")]
+    assert texts == [(1, "I spoke with [PERSON_NAME]."), (1, "I spoke with [PERSON_NAME]."), (3, "")]
     assert pii.find(df.limit(0), field=field).count() == 0
