@@ -40,7 +40,8 @@ LONGEST_PREFIX = 24
 OWN = ("ends_own", "longer_own", "ends_any_own", "longer_any_own")
 
 # Marks that sources put after a cut, and signs that end a sentence or close it.
-_MARKS = re.compile(r"(?:\s|…|\.\.\.|�|​|﻿|\[(?:…|\.\.\.|truncated|cut|snip|gekürzt|tronqué|truncado)\]|<(?:truncated|cut)>)+\Z", re.I)
+_MARKS = ("…", "...", "\ufffd", "\u200b", "\ufeff")
+_MARK_WORDS = re.compile(r"(?:\[(?:…|\.\.\.|truncated|cut|snip|gekürzt|tronqué|truncado)\]|<(?:truncated|cut)>)\Z", re.I)
 _CLOSED = re.compile(r"[.!?。！？؟…][\"'”’»“)\]*_`]*\Z|[\"”»`|}>)\]*_~]\Z")
 _STOP = re.compile(r"[.!?。！？؟…;][\"'”’»“)\]*_`,]*\Z")
 _ITEM = re.compile(r"\s*(?:[-*•+]|\d+[.)])\s")
@@ -65,9 +66,18 @@ def _context(w: str) -> str:
 
 
 def _body(value: str) -> tuple[str, bool]:
-    """(a value without marks put after a cut, whether one of them stands for a lost character)."""
-    marked = _MARKS.search(value)
-    return (value[: marked.start()], "\ufffd" in marked.group()) if marked else (value, False)
+    """(a value without white space and marks put after a cut, whether one of them stands for a lost character)."""
+    lost, n = False, -1
+    while n != len(value):
+        value = value.rstrip()
+        n = len(value)
+        for mark in _MARKS:
+            if value.endswith(mark):
+                value = value[: -len(mark)]
+                lost |= mark == "\ufffd"
+        if value[-1:] in "]>":
+            value = _MARK_WORDS.sub("", value)
+    return value, lost
 
 
 def _is_json(body: str) -> bool:
@@ -95,9 +105,14 @@ def _never_closed(body: str) -> bool:
 
 
 def open_end(value: str) -> tuple[str, str, str] | None:
+    """What _end() says of a value."""
+    body, lost = _body(value)
+    return _end(body, lost, _tokens(body))
+
+
+def _end(body: str, lost: bool, words: list[str]) -> tuple[str, str, str] | None:
     """(kind, context, last word) of an open end, or None.  kind: json (never closed), lost (a lost character or a comma at the
     end), stops (the other units have stops), plain (they have none), alone (there are none)."""
-    body, lost = _body(value)
     if len(body) < 4 or not any(c.isalnum() for c in body[-80:]):
         return None
     is_json = _is_json(body)
@@ -109,7 +124,6 @@ def open_end(value: str) -> tuple[str, str, str] | None:
     last = lines[-1]
     if last.rstrip().endswith(":") and all(_LABEL.match(x) for x in lines):
         return None  # labels without content
-    words = _tokens(body if is_json else last)
     if not words:
         return None
     context = _context(words[-2] if len(words) > 1 else "")
@@ -179,11 +193,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ends = []
         for key, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = _tokens(_body(value)[0])
+            body, lost = _body(value)
+            words = _tokens(body)
             if words:
                 held.update(zip(["", *words], words[:-1]))
                 end = (_context(words[-2] if len(words) > 1 else ""), _word(words[-1]))
-                ends.append((key, len(value), *(open_end(value) or (None, None, None)), *end))
+                ends.append((key, len(value), *(_end(body, lost, words) or (None, None, None)), *end))
         if ends:
             none = pa.nulls(len(ends))
             cols = list(zip(*ends, strict=True))
