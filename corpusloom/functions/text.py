@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: White space as str.strip() sees it, for a character class.
 SPACE = r"\t-\r\x1c-\x1f\x85\p{Z}"
+#: The same characters one by one.
+SPACE_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Openings and phrases of text that carries no evidence.
 LOW_SIGNAL_OPENINGS = ("author:", "by:", "conversion:", "date:", "downloaded:", "source:", "source url:", "tags:", "title:")

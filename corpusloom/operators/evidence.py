@@ -7,8 +7,11 @@ a file's best rows before they are shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,19 +21,31 @@ from corpusloom.session import cut
 FAR_LINE, FAR_CHAR = 10**9, 10**12
 
 
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stripped lines of the last column's texts, each with the other columns, its number and its place; linear in the text."""
+    for batch in batches:
+        *rest, text = batch.columns
+        of_text = pc.split_pattern(pc.fill_null(text, ""), "\n")
+        line, row = of_text.flatten(), pc.list_parent_indices(of_text).to_numpy()
+        size = pc.utf8_length(line).to_numpy().astype(np.int64) + 1
+        end = np.cumsum(size)
+        first = of_text.offsets.to_numpy()[:-1][row]  # the text's first line among all lines
+        start = end - size - (end - size)[first]
+        bare = pc.utf8_ltrim(line, characters=T.SPACE_CHARS)
+        start += size - 1 - pc.utf8_length(bare).to_numpy()
+        bare = pc.utf8_rtrim(bare, characters=T.SPACE_CHARS)
+        kept = np.flatnonzero(pc.not_equal(bare, "").to_numpy(zero_copy_only=False))
+        at, from_row = pa.array(kept), pa.array(row[kept])
+        columns = [c.take(from_row) for c in rest] + [pa.array((np.arange(len(row)) - first + 1)[kept].astype(np.int32)), pa.array(start[kept].astype(np.int32)), bare.take(at)]
+        yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "line_no", "char_start", "text"])
+
+
 def candidates(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """The lines of texts as snippet candidates: (key, keep..., line_no, char_start, text), without blank lines."""
-    lines = F.split(T.newlines(F.col(text)), "\n")
-    offsets = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")),
-    )["all"]
-    rows = documents.select(key, *keep, lines.alias("_lines"), offsets.alias("_offsets"))
-    rows = rows.select(key, *keep, F.posexplode(F.arrays_zip("_lines", "_offsets")).alias("_i", "_x"))
-    rows = rows.select(key, *keep, (F.col("_i") + 1).alias("line_no"), F.col("_x._offsets").alias("_at"), F.col("_x._lines").alias("_line"))
-    lead = F.length(F.regexp_extract("_line", rf"\A([{T.SPACE}]*)", 1))
-    return rows.select(key, *keep, "line_no", (F.col("_at") + lead).alias("char_start"), T.strip(F.col("_line")).alias("text")).where("text != ''")
+    """The lines of texts as snippet candidates: (key, keep..., line_no, char_start, text), without blank lines.  One pass over
+    whole columns of text, as a fold over a text's lines would copy its result at every line."""
+    rows = documents.select(key, *keep, T.newlines(F.col(text)).alias("_text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    return rows.mapInArrow(_lines, f"{kinds}, line_no int, char_start int, text string")
 
 
 def scored(rows: DataFrame, text: str = "text", reason: str | None = None) -> DataFrame:

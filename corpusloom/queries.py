@@ -278,11 +278,15 @@ def q_reduce_batches(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("record_key", "job_id", F.explode(C.batches(F.transform("p", lambda x: x["size"]), 3000)).alias("b")).groupBy("record_key", "job_id", (F.col("b") + 1).alias("batch")).agg(F.count(F.lit(1)).alias("payloads"))
 
 
-@query()
+@query(rf"""select doc_id, true as within, true as numbered, len(w)::bigint as words, md5(array_to_string(w, ' ')) as words_md5 from (select doc_id, regexp_extract_all({_nl("text")}, '[^{_SP}]+') as w from documents where text is not null)""")
 def q_token_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of at most 200 white-space tokens; checked by invariants in the tests."""
-    chunks = C.plan_by_tokens(chunk_sources(spark, folder), 200, path="doc_id")
-    return chunks.select(F.col("doc_id").cast("bigint"), "chunk_index", "tokens", md5(F.col("text")).alias("text_md5"))
+    """Chunks of at most 200 white-space tokens as rendered, headings and overlap included: per document whether all are within
+    the limit and numbered throughout, and the words of all chunks in order, which are the document's."""
+    chunks = C.plan_by_tokens(chunk_sources(spark, folder), 200, overlap_tokens=20, path="doc_id")
+    words = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda x: x["text"]), " ")
+    d = chunks.groupBy("doc_id").agg((F.max("tokens") <= 200).alias("within"), ((F.max("chunk_index") == F.max("chunk_total")) & (F.count(F.lit(1)) == F.max("chunk_total"))).alias("numbered"), words.alias("_t"))
+    w = F.regexp_extract_all("_t", F.lit(rf"[^{T.SPACE}]+"), F.lit(0))
+    return d.select("doc_id", "within", "numbered", F.size(w).cast("bigint").alias("words"), md5(F.array_join(w, " ")).alias("words_md5"))
 
 
 # --- Evidence -------------------------------------------------------------------------------------------------------
