@@ -184,6 +184,7 @@ def find(text: Column, part: Column) -> Column:
     return F.nullif(F.call_function("instr", text, F.nullif(part, F.lit(""))), F.lit(0)) - 1
 
 
+# Fixed value: the notice.
 def clip(text: Column, most: int) -> tuple[Column, Column]:
     """(text cut to `most` characters with a notice, whether it was cut)."""
     over = F.length(text) > most
@@ -239,6 +240,7 @@ def first_glob(path: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.when(path.rlike(glob_regex(p)), F.lit(p)) for p in patterns], F.lit(None).cast("string"))
 
 
+# What messages of failures say, as below.
 def failure_code(message: Column) -> Column:
     """Code of a failure by what its message says; the first rule that holds."""
     m = F.lower(message)
@@ -263,13 +265,15 @@ def failure(message: Column) -> Column:
 
 
 def attributes(c: Column) -> Column:
-    """`k=v; k=v` as a map: at most 8 pairs, keys in snake case of at most 40 characters, values of at most 160; of equal
-    keys the last value (needs spark.sql.mapKeyDedupPolicy LAST_WIN)."""
-    pairs = F.filter(F.split(c, ";"), lambda p: p.contains("="))
+    """`k=v; k=v` as a map of at most 8 keys: keys in snake case of at most 40 characters, values of at most 160.  Of equal keys
+    the last value counts, of those up to where the eighth key comes (needs spark.sql.mapKeyDedupPolicy LAST_WIN)."""
     pairs = F.transform(
-        pairs,
+        F.filter(F.split(c, ";"), lambda p: p.contains("=")),
         lambda p: F.struct(
             F.substring(snake(F.regexp_extract(p, r"\A([^=]*)=", 1)), 1, 40).alias("k"), F.substring(collapse(F.regexp_extract(p, r"(?s)\A[^=]*=(.*)\z", 1)), 1, 160).alias("v")
         ),
     )
-    return F.map_from_entries(F.slice(F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != "")), 1, 8))
+    pairs = F.filter(pairs, lambda p: (p["k"] != "") & (p["v"] != ""))
+    keys = F.transform(pairs, lambda p: p["k"])
+    eighth = F.try_element_at(F.array_distinct(keys), F.lit(8))
+    return F.map_from_entries(F.slice(pairs, F.lit(1), F.coalesce(F.array_position(keys, eighth).cast("int"), F.size(pairs))))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.session import cut
+from corpusloom.session import cut, small
 
 FAR_LINE, FAR_CHAR = 10**9, 10**12
 
@@ -55,15 +55,17 @@ def scored(rows: DataFrame, text: str = "text", reason: str | None = None) -> Da
     return rows.withColumn("score", T.points(F.col("_shown"), n)).withColumn("score_reasons", T.reasons(F.col("_shown"), n)).drop("_shown")
 
 
-def drop_reasons(rows: DataFrame, source: str, by: Sequence[str], order: str, max_chars: int = 600, text: str = "text") -> DataFrame:
+def drop_reasons(rows: DataFrame, source: str, by: Sequence[str], order: str, max_chars: int = 600, text: str = "text", lines: bool = False) -> DataFrame:
     """rows with drop_reason (null: verified) and the 0-based char_start of the text in its source.
 
     In this order: empty is unverified; too long; low signal; a text verified before among the same `by` is a duplicate; not
     in the source is unverified.  `source` and `text` are columns; a null text counts as empty.  The source column is left
-    out of the result, and never shuffled.
+    out of the result, and never shuffled.  With lines, lines_before says how many lines of the source end before the text.
     """
     bare = F.regexp_replace(T.strip(F.coalesce(F.col(text), F.lit(""))), r"\A[\"']+|[\"']+\z", "")
     rows = rows.withColumn("_bare", bare).withColumn("char_start", T.find(F.col(source), F.col("_bare")))
+    if lines:
+        rows = rows.withColumn("lines_before", T.line_of(F.col(source), F.col("char_start")) - 1)
     early = F.when(F.col("_bare") == "", "unverified").when(F.length("_bare") > max_chars, "too_long").when(T.is_low_signal(F.col("_bare")), "low_signal")
     early = F.coalesce(early, F.when(F.col("char_start").isNull(), "unverified"))
     rows = rows.withColumn("_early", early).drop(source)
@@ -172,4 +174,4 @@ def numbered(df: DataFrame, *order: Column, name: str = "number") -> DataFrame:
     counts = laid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_from"))
     # One row per partition.
     before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).select("_part", "_before", "_from")
-    return laid.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_from") + 1).select(*df.columns, name)
+    return laid.join(small(before), "_part").withColumn(name, F.col("_before") + F.col("_at") - F.col("_from") + 1).select(*df.columns, name)

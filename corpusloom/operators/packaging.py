@@ -15,12 +15,8 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators import evidence as E
 
-#: What a bundle gives up first under each fit policy.
-FIT_POLICIES = {
-    "summary-first": ("snippets", "open_questions", "bullets"),
-    "evidence-first": ("open_questions", "bullets", "snippets"),
-    "balanced": ("open_questions", "snippets", "bullets"),
-}
+# How a bundle that is too long is made to fit.
+FIT_POLICIES = ("summary-first", "evidence-first", "balanced")
 
 
 def effective_cap(max_chars: int | None, max_tokens: int | None = None, per_token: float = 4.0) -> int | None:
@@ -56,35 +52,47 @@ def snippet_packs(rows: DataFrame, by: Sequence[str], most: int = 24, per_file:
     return packs.select(*by, "snippets", "files", "dropped", F.length("markdown").alias("chars"), (F.col("snippets") > 0).alias("fit"), "markdown")
 
 
-def _render(items: list[dict]) -> str:
-    out = []
-    for x in items:
-        out += [f"## {x['title']}", "", x["abstract"], ""]
-        out += [f"- {b}" for b in x["bullets"]]
-        out += [f"? {q}" for q in x["open_questions"]]
-        out += [f"> {s}" for s in x["snippets"]]
-        out += [f"Confidence: {x['confidence']}", ""]
-    return "\n".join(out)
+def _lines(x: dict) -> list[str]:
+    """An item as it is rendered."""
+    return [f"## {x['title']}", "", x["abstract"], "", *[f"- {b}" for b in x["bullets"]], *[f"? {q}" for q in x["open_questions"]], *[f"> {s}" for s in x["snippets"]], f"Confidence: {x['confidence']}", ""]
 
 
-def fit(items: list[dict], cap: int | None, policy: str = "balanced") -> tuple[list[dict], str]:
-    """Items within the cap and their rendering: parts are given up from the end, kind after kind as the policy says, then
-    whole items from the end.  Texts are never shortened."""
-    order = FIT_POLICIES[policy]
+def fit(items: list[dict], cap: int | None, policy: str = "balanced") -> tuple[list[dict], str, dict[str, int]]:
+    """(items within the cap, their rendering, what was given up by kind).
+
+    One unit after the other is given up, each from the end: details (open questions, then bullets), items without snippets,
+    and snippets; evidence-first in this order, summary-first snippets first, balanced by turns as the numbers given up so far
+    say.  Texts are never shortened and items with snippets never dropped, so the result may be longer than the cap.
+    """
+    if policy not in FIT_POLICIES:
+        raise ValueError(f"unknown policy {policy}")
     items = [{**x, **{k: list(x[k]) for k in ("bullets", "open_questions", "snippets")}} for x in items]
-    text = _render(items)
-    while cap is not None and len(text) > cap and items:
-        last = next(((x, k) for k in order for x in reversed(items) if x[k]), None)
-        if last:
-            last[0][last[1]].pop()
-        else:
-            items.pop()
-        text = _render(items)
-    return items, text
+    gone = dict.fromkeys(("open_questions", "bullets", "items", "snippets"), 0)
+    size = sum(len(line) + 1 for x in items for line in _lines(x)) - 1
+
+    def part(kind: str) -> int:
+        """Characters that the last unit of a kind takes; 0 if there is none."""
+        x = next((x for x in reversed(items) if x[kind]), None)
+        gone[kind] += x is not None
+        return len(x[kind].pop()) + 3 if x else 0
+
+    def item() -> int:
+        i = next((i for i in range(len(items) - 1, -1, -1) if not items[i]["snippets"]), None)
+        gone["items"] += i is not None
+        return sum(len(line) + 1 for line in _lines(items.pop(i))) if i is not None else 0
+
+    while cap is not None and size > cap:
+        snippets_first = policy == "summary-first" or (policy == "balanced" and gone["open_questions"] + gone["bullets"] + gone["items"] > gone["snippets"])
+        less = (part("snippets") if snippets_first else 0) or part("open_questions") or part("bullets") or item() or part("snippets")
+        if not less:
+            break
+        size -= less
+    return items, "\n".join(line for x in items for line in _lines(x)), gone
 
 
 def bundles(items: DataFrame, by: Sequence[str], key: str, most: int = 20, max_chars: int | None = None, policy: str = "balanced") -> DataFrame:
-    """One bundle per `by` of the first `most` items by key: (by..., items, dropped_items, chars, fit, markdown).
+    """One bundle per `by` of the first `most` items by key: (by..., items, dropped_items, dropped_open_questions, dropped_bullets,
+    dropped_snippets, chars, fit, markdown).
 
     items needs title, abstract, bullets, open_questions, confidence and, if there are any, snippets (array<string>).  Rows
     per bundle are cut to `most` before they are gathered.
@@ -99,11 +107,11 @@ def bundles(items: DataFrame, by: Sequence[str], key: str, most: int = 20, max_c
     def run(rows):
         rows = rows.sort_values("rank_in_group")
         given = [{f: list(r[f]) if f in ("bullets", "open_questions", "snippets") else r[f] for f in fields} for r in rows.to_dict("records")]
-        kept, text = fit(given, cap, policy)
+        kept, text, gone = fit(given, cap, policy)
         head = {c: rows[c].iloc[0] for c in by}
-        return pd.DataFrame([{**head, "items": len(kept), "dropped_items": len(given) - len(kept), "chars": len(text), "fit": cap is None or len(text) <= cap, "markdown": text}])
+        return pd.DataFrame([{**head, "items": len(kept), "dropped_items": gone["items"], "dropped_open_questions": gone["open_questions"], "dropped_bullets": gone["bullets"], "dropped_snippets": gone["snippets"], "chars": len(text), "fit": cap is None or len(text) <= cap, "markdown": text}])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", items int, dropped_items int, chars int, fit boolean, markdown string"
+    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", items int, dropped_items int, dropped_open_questions int, dropped_bullets int, dropped_snippets int, chars int, fit boolean, markdown string"
     return first.select(*by, "rank_in_group", *fields).groupBy(*by).applyInPandas(run, schema)
 
 

@@ -38,35 +38,40 @@ def _text(v: Column) -> Column:
     return F.to_json(v)
 
 
-def _check(v: Column, contract: dict[str, Any], path: Column, depth: int = 0) -> Column:
+def _json(x: Any) -> str:
+    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+
+
+def _check(v: Column, contract: dict[str, Any], path: Column) -> Column:
     none = F.array().cast("array<string>")
     kind = F.schema_of_variant(v)
     say = lambda what: F.array(F.concat(path, F.lit(": " + what)))
-    found = [none]
+    found, below = [none], [none]
     if "const" in contract:
-        found.append(F.when(_text(v) != json.dumps(contract["const"]), say(f"must be {json.dumps(contract['const'])}")).otherwise(none))
+        found.append(F.when(_text(v) != _json(contract["const"]), say(f"must be {_json(contract['const'])}")).otherwise(none))
     if "enum" in contract:
-        found.append(F.when(~_text(v).isin(*[json.dumps(x) for x in contract["enum"]]), say("is not an allowed value")).otherwise(none))
+        found.append(F.when(~_text(v).isin(*map(_json, contract["enum"])), say("is not an allowed value")).otherwise(none))
     for name in contract.get("required", []):
-        found.append(F.when(kind.like("OBJECT%") & F.try_variant_get(v, f"$.{name}", "variant").isNull(), say(f"lacks {name}")).otherwise(none))
+        below.append(F.when(kind.like("OBJECT%") & F.try_variant_get(v, f"$.{name}", "variant").isNull(), say(f"lacks {name}")).otherwise(none))
     for name, part in contract.get("properties", {}).items():
         inner = F.try_variant_get(v, f"$.{name}", "variant")
-        found.append(F.when(kind.like("OBJECT%") & inner.isNotNull(), _check(inner, part, F.concat(path, F.lit("." + name)), depth + 1)).otherwise(none))
+        below.append(F.when(kind.like("OBJECT%") & inner.isNotNull(), _check(inner, part, F.concat(path, F.lit("." + name)))).otherwise(none))
     if "items" in contract:
-        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _check(x, contract["items"], F.concat(path, F.lit("[]")), depth + 1))
-        found.append(F.when(kind.like("ARRAY%"), F.flatten(each)).otherwise(none))
-    all_of = F.concat(*found)
+        each = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, i: _check(x, contract["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        below.append(F.when(kind.like("ARRAY%"), F.flatten(each)).otherwise(none))
+    rest = F.concat(*below)
     if "type" in contract:
         names = contract["type"] if isinstance(contract["type"], str) else " or ".join(contract["type"])
-        return F.when(~_is(kind, contract["type"]), say(f"must be {names}")).otherwise(all_of)
-    return all_of
+        rest = F.when(~_is(kind, contract["type"]), say(f"must be {names}")).otherwise(rest)
+    return F.concat(*found, rest)
 
 
 def violations(document: Column, contract: dict[str, Any]) -> Column:
-    """Errors of a JSON document (a string column) as array<string>, each with its path from $; array indexes are left out.
-    A document that is null or no JSON has the one error `$: is not JSON`."""
+    """Errors of a JSON document (a string column) as array<string>, each with its path from $, in the order of the contract:
+    of a value its constant, its allowed values and its type; only where the type is right, what is below.  A document that is
+    null or no JSON has the one error `$: is not JSON`."""
     v = F.try_parse_json(document)
-    return F.when(v.isNull(), F.array(F.lit("$: is not JSON"))).otherwise(F.array_distinct(_check(v, contract, F.lit("$"))))
+    return F.when(v.isNull(), F.array(F.lit("$: is not JSON"))).otherwise(_check(v, contract, F.lit("$")))
 
 
 def shape(document: Column, rules: dict[str, list[str]]) -> Column:

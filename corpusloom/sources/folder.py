@@ -1,7 +1,7 @@
 """Text folders and JSON artifacts as tables.
 
 Spark's own file sources hide names that begin with . or _, so folders are read by a Python data source: its partitions are
-shards of the file list by folder, each walked and read by the tasks.  The folder must be reachable from all executors.
+shards of the list of files, read by the tasks.  The folder must be reachable from all executors.
 """
 
 from __future__ import annotations
@@ -20,48 +20,64 @@ from corpusloom.session import ship
 # Folders and endings that are never read.
 SKIPPED_FOLDERS = (".git", "__pycache__", "bin", "build", "dist", "node_modules", "obj")
 SKIPPED_ENDINGS = (
-    ".7z", ".avif", ".bmp", ".dll", ".doc", ".docx", ".exe", ".gif", ".gz", ".ico", ".jpeg", ".jpg", ".min.css", ".min.js", ".pdf", ".png", ".ppt", ".pptx", ".rar", ".so", ".tar", ".webp", ".xls", ".xlsx", ".zip",
+    ".7z", ".avif", ".bmp", ".doc", ".docx", ".exe", ".gif", ".gz", ".heic", ".ico", ".jpeg", ".jpg", ".min.css", ".min.js", ".mp3", ".mp4", ".pdf", ".png", ".ppt", ".pptx", ".rar", ".tar", ".webp", ".xls", ".xlsx", ".zip",
 )
+# Why a file is not read.
+IN_FOLDER, BY_ENDING, NO_TEXT, NOT_INCLUDED, EXCLUDED = "built_in_skipped_dir", "built_in_skipped_suffix", "built_in_non_text", "not_included_by_pattern", "excluded_by_pattern"
+#: Files and bytes of one partition.
+SHARD_FILES, SHARD_BYTES = 2_000, 64 << 20
 SNIFFED = 8192
 
 
 class _Shard(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        self.folder, self.deep = folder, deep
+    def __init__(self, files: list[tuple[str, int]]):
+        self.files = files
+
+
+def _is_skipped(rel: str) -> bool:
+    *folders, name = rel.split("/")
+    return not set(folders).isdisjoint(SKIPPED_FOLDERS) or name.lower().endswith(SKIPPED_ENDINGS)
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
 
+    def _listed(self) -> Iterator[tuple[str, int]]:
+        """All files with their sizes, as file sources list them: names only, folder by folder."""
+        left = [""]
+        while left:
+            here = left.pop()
+            with os.scandir(os.path.join(self.root, here)) as found:
+                for x in sorted(found, key=lambda e: e.name):
+                    rel = f"{here}/{x.name}" if here else x.name
+                    if x.is_dir(follow_symlinks=False):
+                        left.append(rel)
+                    elif x.is_file():
+                        yield rel, x.stat().st_size
+
     def partitions(self) -> list[InputPartition]:
-        """A shard for the files right in the root, and one for each folder of the first two levels."""
-        shards = [_Shard("", False)]
-        for a in sorted(x.name for x in os.scandir(self.root) if x.is_dir(follow_symlinks=False)):
-            inner = sorted(x.name for x in os.scandir(os.path.join(self.root, a)) if x.is_dir(follow_symlinks=False))
-            shards.append(_Shard(a, False))
-            shards += [_Shard(os.path.join(a, b), True) for b in inner]
-        return shards
+        """Shards by count and bytes, so a flat folder of many files is many tasks."""
+        shards: list[InputPartition] = []
+        files, size = [], 0
+        for rel, n in self._listed():
+            files.append((rel, n))
+            size += 0 if _is_skipped(rel) else n
+            if len(files) >= SHARD_FILES or size >= SHARD_BYTES:
+                shards.append(_Shard(files))
+                files, size = [], 0
+        return [*shards, _Shard(files)] if files or not shards else shards
 
     def read(self, shard: _Shard) -> Iterator[tuple]:
-        top = os.path.join(self.root, shard.folder)
-        for folder, below, names in os.walk(top):
-            # Folders that are never read are not walked either; their files are not listed.
-            below[:] = [] if not shard.deep else [x for x in sorted(below) if x not in SKIPPED_FOLDERS]
-            rel = os.path.relpath(folder, self.root)
-            if any(x in SKIPPED_FOLDERS for x in rel.split(os.sep)):
-                return
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                if os.path.isfile(path):
-                    skip = name.lower().endswith(SKIPPED_ENDINGS)
-                    try:
-                        with open(path, "rb") as f:
-                            content = b"" if skip else f.read()
-                        readable = True
-                    except OSError:
-                        content, readable = b"", False
-                    yield os.path.normpath(os.path.join(rel, name)).replace(os.sep, "/"), os.path.getsize(path), content, readable
+        for rel, size in shard.files:
+            content, readable = b"", True
+            if not _is_skipped(rel):
+                try:
+                    with open(os.path.join(self.root, rel), "rb") as f:
+                        content = f.read()
+                except OSError:
+                    readable = False
+            yield rel, size, content, readable
 
 
 class TextFolder(DataSource):
@@ -79,11 +95,11 @@ class TextFolder(DataSource):
 
 
 def skip_reason(path: Column, suffixes: tuple[str, ...] = SKIPPED_ENDINGS) -> Column:
-    """Why a path is skipped by its name: built_in_skipped_dir, built_in_skipped_suffix, or null."""
+    """Why a path is skipped by its name: IN_FOLDER, BY_ENDING, or null."""
     parts = F.split(path, "/")
     inside = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, SKIPPED_FOLDERS)))
     ends = T.any_of([F.lower(path).endswith(s) for s in suffixes])
-    return F.when(inside, "built_in_skipped_dir").when(ends, "built_in_skipped_suffix")
+    return F.when(inside, IN_FOLDER).when(ends, BY_ENDING)
 
 
 def is_text(content: Column, size: Column) -> Column:
@@ -101,7 +117,7 @@ def is_text(content: Column, size: Column) -> Column:
 def read_folder(spark: SparkSession, path: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
     """Files of a folder: (rel_path, size, content string, skip_reason, skip_pattern); selected where skip_reason is null.
 
-    First what is built in, then exclude, then include; neither list can bring back what is built in.  Content is text with
+    First what is built in, then include, then exclude; neither list can bring back what is built in.  Content is text with
     \\n line ends, invalid bytes replaced; null for skipped files.
     """
     if not os.path.isdir(path):
@@ -112,13 +128,11 @@ def read_folder(spark: SparkSession, path: str, include: list[str] | None = None
     p = F.col("rel_path")
     out = T.first_glob(p, exclude or [])
     wanted = T.first_glob(p, include) if include else F.lit("")
-    reason = (
-        F.coalesce(skip_reason(p), F.when(~F.col("readable") | ~is_text(F.col("content"), F.col("size")), "built_in_skipped_non_text"))
-    )
-    reason = F.coalesce(reason, F.when(out.isNotNull(), "excluded"), F.when(wanted.isNull(), "not_included"))
+    no_text = ~F.col("readable") | ~is_text(F.col("content"), F.col("size"))
+    reason = F.coalesce(skip_reason(p), F.when(no_text, NO_TEXT), F.when(wanted.isNull(), NOT_INCLUDED), F.when(out.isNotNull(), EXCLUDED))
     text = T.newlines(F.make_valid_utf8(F.col("content").cast("string")))
     rows = files.withColumn("skip_reason", reason)
-    return rows.select("rel_path", "size", F.when(F.col("skip_reason").isNull(), text).alias("content"), "skip_reason", F.when(F.col("skip_reason") == "excluded", out).alias("skip_pattern"))
+    return rows.select("rel_path", "size", F.when(F.col("skip_reason").isNull(), text).alias("content"), "skip_reason", F.when(F.col("skip_reason") == EXCLUDED, out).alias("skip_pattern"))
 
 
 def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:

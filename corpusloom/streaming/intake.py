@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from corpusloom.functions import text as T
 
 
 def sources(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """New text files of a folder as a stream of (rel_path, content)."""
+    """New text files of a folder as a stream of (rel_path, content).  As with all of Spark's file streams, names that begin with
+    . or _ are not seen."""
     files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_per_batch).load(folder)
     # The name after the folder, whatever the scheme of the address is.
-    path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^.*?" + "/" + folder.strip("/").replace(".", r"\.") + "/", "")
+    path = F.regexp_replace(F.url_decode(F.col("_metadata.file_path")), "^.*?/" + re.escape(folder.strip("/")) + "/", "")
     return files.select(path.alias("rel_path"), T.newlines(F.col("value")).alias("content"))
 
 

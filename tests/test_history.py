@@ -70,13 +70,26 @@ def test_setting_changes(spark):
 
 def test_fit_policies():
     item = {"title": "T", "abstract": "a" * 20, "bullets": ["b" * 20] * 3, "open_questions": ["q" * 20] * 2, "snippets": ["s" * 20] * 2, "confidence": "low"}
-    kept, text = K.fit([item], None)
-    assert len(kept[0]["bullets"]) == 3 and len(item["bullets"]) == 3
-    kept, text = K.fit([item], len(text) - 1, "evidence-first")
-    assert len(kept[0]["open_questions"]) == 1 and len(kept[0]["snippets"]) == 2
-    kept, text = K.fit([item], len(text) - 1, "summary-first")
-    assert len(kept[0]["snippets"]) < 2 and len(kept[0]["bullets"]) == 3
-    assert K.fit([item], 1)[0] == []
+    bare = {**item, "title": "U", "snippets": []}
+    whole = K.fit([item], None)
+    assert len(whole[0][0]["bullets"]) == 3 and len(item["bullets"]) == 3 and not any(whole[2].values())
+    kept, text, gone = K.fit([item], len(whole[1]) - 1, "evidence-first")
+    assert len(kept[0]["open_questions"]) == 1 and len(kept[0]["snippets"]) == 2 and gone["open_questions"] == 1
+    kept, text, gone = K.fit([item], len(whole[1]) - 1, "summary-first")
+    assert len(kept[0]["snippets"]) == 1 and len(kept[0]["bullets"]) == 3 and gone["snippets"] == 1
+    # Items with evidence stay, even where nothing fits; those without go.
+    for policy in K.FIT_POLICIES[1:]:
+        kept, text, gone = K.fit([item, bare], 30, policy)
+        assert gone == {"open_questions": 4, "bullets": 6, "items": 2, "snippets": 2} or gone["items"] == 1
+    kept, text, gone = K.fit([item, bare], len(K.fit([{**item, "bullets": [], "open_questions": []}], None)[1]), "evidence-first")
+    assert [x["title"] for x in kept] == ["T"] and gone == {"open_questions": 4, "bullets": 6, "items": 1, "snippets": 0}
+    # By turns.
+    kept, text, gone = K.fit([item], len(whole[1]) - 24, "balanced")
+    assert gone == {"open_questions": 1, "bullets": 0, "items": 0, "snippets": 1}
+    for cap in range(0, len(whole[1]), 7):
+        for policy in K.FIT_POLICIES:
+            kept, text, gone = K.fit([item, bare], cap, policy)
+            assert text == K.fit(kept, None)[1] and (len(text) <= cap or not any(x["bullets"] or x["open_questions"] or x["snippets"] for x in kept))
 
 
 def test_snippet_packs(spark):
@@ -94,15 +107,16 @@ def test_contract_violations(spark):
     docs = [json.dumps(good), json.dumps({**good, "bullets": ["a", 1]}), json.dumps({**good, "confidence": "odd"}), json.dumps({k: v for k, v in good.items() if k != "title"}), json.dumps({**good, "title": None}), "[]", "{bad", None, ""]
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
     got = [r.e for r in df.select("i", contracts.violations(F.col("d"), contracts.SUMMARY).alias("e")).orderBy("i").collect()]
-    assert got == [[], ["$.bullets[]: must be string"], ["$.confidence: is not an allowed value"], ["$: lacks title"], ["$.title: must be string"], ["$: must be object"], ["$: is not JSON"], ["$: is not JSON"], ["$: is not JSON"]]
+    assert got == [[], ["$.bullets[1]: must be string"], ["$.confidence: is not an allowed value"], ["$: lacks title"], ["$.title: must be string"], ["$: must be object"], ["$: is not JSON"], ["$: is not JSON"], ["$: is not JSON"]]
 
 
 def test_contract_kinds(spark):
     c = {"type": "object", "properties": {"n": {"type": "integer"}, "b": {"type": "boolean"}, "u": {"type": ["string", "null"]}, "k": {"const": "x"}}}
-    docs = ['{"n": 1, "b": true, "u": null, "k": "x"}', '{"n": true, "b": 1, "u": 3, "k": "y"}', "{}"]
+    c["properties"] |= {"e": {"type": "string", "enum": ["ä"]}, "l": {"type": "array", "items": {"type": "string", "const": "é"}}}
+    docs = ['{"n": 1, "b": true, "u": null, "k": "x", "e": "ä", "l": ["é"]}', '{"n": true, "b": 1, "u": 3, "k": "y"}', '{"e": 1, "l": ["e", "é", 2]}']
     df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, d string")
     got = [sorted(r.e) for r in df.select("i", contracts.violations(F.col("d"), c).alias("e")).orderBy("i").collect()]
-    assert got == [[], ["$.b: must be boolean", '$.k: must be "x"', "$.n: must be integer", "$.u: must be string or null"], []]
+    assert got == [[], ["$.b: must be boolean", '$.k: must be "x"', "$.n: must be integer", "$.u: must be string or null"], ["$.e: is not an allowed value", "$.e: must be string", '$.l[0]: must be "é"', '$.l[2]: must be "é"', "$.l[2]: must be string"]]
 
 
 def test_settings(tmp_path):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from corpusloom.operators import chunking as C
 from corpusloom.plans import model
 from corpusloom.plans import pipeline as P
 from corpusloom.sources import folder
@@ -22,6 +23,8 @@ def files(tmp_path):
     (tmp_path / "sub" / "deep" / "d.bin").write_bytes(b"a\x00b")
     (tmp_path / "sub" / "cut.txt").write_bytes(b"x" * 8191 + "é".encode() + b"y")
     (tmp_path / "sub" / "e.min.js").write_text("x")
+    (tmp_path / "sub" / "song.MP3").write_text("x")
+    (tmp_path / "sub" / "lib.so").write_text("text by another name")
     (tmp_path / "node_modules" / "n.md").write_text("x")
     (tmp_path / ".hidden" / "_h.md").write_text("seen")
     return tmp_path
@@ -31,15 +34,54 @@ def test_folder(spark, files):
     rows = {r.rel_path: r for r in folder.read_folder(spark, str(files), exclude=["sub/b*"]).collect()}
     reasons = {k: r.skip_reason for k, r in rows.items()}
     assert reasons == {
-        "a.md": None, "sub/b.txt": "excluded", "sub/deep/x/c.txt": "built_in_skipped_non_text", "sub/deep/d.bin": "built_in_skipped_non_text", "sub/cut.txt": None, "sub/e.min.js": "built_in_skipped_suffix", ".hidden/_h.md": None,
+        "a.md": None, "sub/b.txt": "excluded_by_pattern", "sub/deep/x/c.txt": "built_in_non_text", "sub/deep/d.bin": "built_in_non_text", "sub/cut.txt": None, "sub/e.min.js": "built_in_skipped_suffix", ".hidden/_h.md": None,
+        "node_modules/n.md": "built_in_skipped_dir", "sub/song.MP3": "built_in_skipped_suffix", "sub/lib.so": None,
     }
     assert rows["a.md"].content == "one\ntwo\nthree" and rows["sub/b.txt"].skip_pattern == "sub/b*"
-    only = folder.read_folder(spark, str(files), include=["*.md"]).where("skip_reason is null").count()
-    assert only == 2
+    listed = {r.rel_path: r.skip_reason for r in folder.read_folder(spark, str(files), include=["*.md"], exclude=["sub/*", "a*"]).collect()}
+    assert [k for k, r in listed.items() if r is None] == [".hidden/_h.md"] and listed["a.md"] == "excluded_by_pattern" and listed["sub/b.txt"] == "not_included_by_pattern"
     with pytest.raises(NotADirectoryError):
         folder.read_folder(spark, str(files / "none"))
 
 
+def test_a_flat_folder_is_many_shards(tmp_path, monkeypatch):
+    for i in range(10):
+        (tmp_path / f"{i}.md").write_text("x" * i)
+    monkeypatch.setattr(folder, "SHARD_FILES", 4)
+    assert [len(x.files) for x in folder._Reader({"path": str(tmp_path)}).partitions()] == [4, 4, 2]
+    monkeypatch.setattr(folder, "SHARD_BYTES", 9)
+    assert all(len(x.files) <= 4 for x in folder._Reader({"path": str(tmp_path)}).partitions())
+
+
+def test_the_model_is_told_what_to_do(spark, tmp_path):
+    """A client that keeps what it is sent: task, shape, limits, instructions and guidance, and chunks within the limit."""
+
+    class Keeper:
+        def complete(self, system, user):
+            with open(tmp_path / f"{hash(user)}.txt", "w") as f:
+                f.write(system + "\0" + user)
+            return model.ExtractiveStub().complete(system, user)
+
+    s = P.Settings(chunk_chars=400, reduce_chars=600, guidance="Be brief.", snippets=3, snippet_chars=123)
+    P.summarize(sources(spark).where("rel_path in ('a', 'b')"), Keeper(), s, "Mind the rules.").jobs.count()
+    sent = [p.read_text().split("\0") for p in tmp_path.glob("*.txt")]
+    kinds = {"single": 0, "chunk": 0, "reduce": 0}
+    for system, user in sent:
+        task, text = user.split("\nFile content:\n", 1)
+        assert system.endswith("Guidance: Be brief.") and "Mind the rules." in task and "OPEN QUESTIONS:" in task and "CONFIDENCE: low|medium|high" in task
+        kind = "reduce" if "Chunk summaries:" in text else "chunk" if "\nChunk text:\n" in text else "single"
+        kinds[kind] += 1
+        assert (("up to 3 source snippets" in task) and ("at most 123 characters" in task)) == (kind != "reduce")
+        body = text.split("\nChunk text:\n", 1)[-1]
+        assert kind == "reduce" or len(body) + len(C.HEADER % ("a", 1, 1, 1) + C.BODY) <= 420
+    assert kinds["single"] == 1 and kinds["chunk"] > 3 and kinds["reduce"] >= 1
+    for f in tmp_path.glob("*.txt"):
+        f.unlink()
+    P.extract(sources(spark).where("rel_path = 'b'"), Keeper(), P.Settings(preset="work", items_per_chunk=7), "deadlines").jobs.count()
+    (system, user), *more = [p.read_text().split("\0") for p in tmp_path.glob("*.txt")]
+    assert not more and "tagged lines" in system and "at most 7 items" in user and "Focus: deadlines" in user and "blocker, decision, follow_up" in user
+
+
 def sources(spark):
     long = "\n\n".join(f"# Part {i}\n\nParagraph {i} must say that the limit is {i} because of the rule number {i}." for i in range(30))
     return spark.createDataFrame([("a", long), ("b", "Short text that shows the main finding because it must."), ("c", " \n "), ("d", None), ("e", "BOOM here is a text that fails in the model call.")], "rel_path string, content string")
@@ -79,6 +121,7 @@ def test_extract_and_prompt(spark):
         for x in r.sources:
             if x.snippet:
                 assert texts[x.rel_path][x.char_start : x.char_start + len(x.snippet)] == x.snippet
+    assert P.coverage(run).first().asDict() == {"jobs": 5, "done": 3, "failed": 2, "coverage": "partial", "items": 8, "kept": 8}
     assert P.prompt(sources(spark), model.ExtractiveStub(), "Say it").jobs.where("status = 'complete'").count() == 5
 
 
