@@ -277,3 +277,54 @@ def attributes(c: Column) -> Column:
     keys = F.transform(pairs, lambda p: p["k"])
     eighth = F.try_element_at(F.array_distinct(keys), F.lit(8))
     return F.map_from_entries(F.slice(pairs, F.lit(1), F.coalesce(F.array_position(keys, eighth).cast("int"), F.size(pairs))))
+
+
+def timestamp_label(at: Column, millis: bool = True) -> Column:
+    """A timestamp as ISO 8601 in UTC (the session's zone) with Z, to the millisecond or the second; null stays null."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss" + (".SSS" if millis else "") + "'Z'")
+
+
+def timestamp_of(label: Column) -> Column:
+    """The timestamp of an ISO 8601 label; null if it is none."""
+    return F.try_to_timestamp(label)
+
+
+def duration_label(ms: Column) -> Column:
+    """Milliseconds as they are shown: `999ms`, `1.5s`, `2m 3.0s`; empty for null.  Tenths are rounded, halves up."""
+    tenths = lambda x: F.concat(F.floor((x + 50) / 1000).cast("string"), F.lit("."), (F.floor((x + 50) / 100) % 10).cast("string"), F.lit("s"))
+    return F.when(ms.isNull(), "").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms"))).when(ms < 60_000, tenths(ms)).otherwise(F.concat(F.floor(ms / 60_000).cast("string"), F.lit("m "), tenths(ms % 60_000)))
+
+
+def at_path(document: Column, dotted: str) -> Column:
+    """The value at a dotted path of a JSON text, as text; null where the path leads nowhere."""
+    return F.try_variant_get(F.try_parse_json(document), "$." + dotted, "string")
+
+
+def whole_number(document: Column, dotted: str) -> Column:
+    """The whole number at a dotted path of a JSON text: of a number its whole part, of a text the number that it writes; null for
+    truth values, other texts and what is missing."""
+    v = F.try_variant_get(F.try_parse_json(document), "$." + dotted, "variant")
+    kind, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+    number = F.when(kind.rlike("^(?:DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double").try_cast("bigint"))
+    return F.coalesce(F.when(kind == "BIGINT", text.try_cast("bigint")), number, F.when(kind == "STRING", F.when(strip(text).rlike(r"\A[+-]?[0-9]+\z"), strip(text).try_cast("bigint"))))
+
+
+def score(document: Column, dotted: str) -> Column:
+    """A score from 1 to 5 at a dotted path of a JSON text; null for anything else."""
+    n = whole_number(document, dotted)
+    return F.when(n.between(1, 5), n.cast("int"))
+
+
+def below(path: Column, base: str) -> Column:
+    """A path below a folder, or as it is where it lies elsewhere."""
+    return F.when(F.startswith(path, F.lit(base.rstrip("/") + "/")), F.substring(path, len(base.rstrip("/")) + 2, 2**31 - 1)).otherwise(path)
+
+
+def queued(total: Column, complete: Column, running: Column, failed: Column) -> Column:
+    """What still waits."""
+    return F.greatest(F.lit(0), total - complete - running - failed)
+
+
+def token_budget(context: Column, margin: float = 0.15, reserve: int = 1024, most: int = 4096) -> Column:
+    """Tokens that a chunk may have under a model's context: less a margin and what the prompt takes, at least 1."""
+    return F.greatest(F.lit(1), F.least(F.lit(most), F.floor(context * F.lit(1 - margin)).cast("int") - reserve))

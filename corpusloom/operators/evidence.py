@@ -7,9 +7,12 @@ a file's best rows before they are shuffled.
 
 from __future__ import annotations
 
+import bisect
+import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -55,20 +58,41 @@ def scored(rows: DataFrame, text: str = "text", reason: str | None = None) -> Da
     return rows.withColumn("score", T.points(F.col("_shown"), n)).withColumn("score_reasons", T.reasons(F.col("_shown"), n)).drop("_shown")
 
 
-def drop_reasons(rows: DataFrame, source: str, by: Sequence[str], order: str, max_chars: int = 600, text: str = "text", lines: bool = False) -> DataFrame:
+def _bare(text: Column) -> Column:
+    return F.regexp_replace(T.strip(F.coalesce(text, F.lit(""))), r"\A[\"']+|[\"']+\z", "")
+
+
+def _first_places(sources: pd.Series, texts: pd.Series) -> pd.Series:
+    """Of each text its first place in the source and the lines before it."""
+    out = []
+    for source, wanted in zip(sources, texts, strict=True):
+        breaks = [m.start() for m in re.finditer("\n", source or "")]
+        found = [(source or "").find(t) if t else -1 for t in (wanted if wanted is not None else [])]
+        out.append([{"char_start": at, "lines_before": bisect.bisect_left(breaks, at)} if at >= 0 else {"char_start": None, "lines_before": None} for at in found])
+    return pd.Series(out)
+
+
+def placed(source: Column, candidates: Column) -> Column:
+    """array<struct<..., text, ...>> with each candidate's 0-based char_start in the source and the lines of the source that end
+    before it (lines_before); null where it does not stand there.  The source stays one value: explode what comes out."""
+    find = F.pandas_udf(_first_places, "array<struct<char_start:int,lines_before:int>>")
+    places = find(source, F.transform(candidates, lambda c: _bare(c["text"])))
+    return F.zip_with(candidates, places, lambda c, p: c.withField("char_start", p["char_start"]).withField("lines_before", p["lines_before"]))
+
+
+def drop_reasons(rows: DataFrame, source: str | None, by: Sequence[str], order: str, max_chars: int = 600, text: str = "text") -> DataFrame:
     """rows with drop_reason (null: verified) and the 0-based char_start of the text in its source.
 
     In this order: empty is unverified; too long; low signal; a text verified before among the same `by` is a duplicate; not
     in the source is unverified.  `source` and `text` are columns; a null text counts as empty.  The source column is left
-    out of the result, and never shuffled.  With lines, lines_before says how many lines of the source end before the text.
+    out of the result, and never shuffled; without one, rows have char_start already (placed()).
     """
-    bare = F.regexp_replace(T.strip(F.coalesce(F.col(text), F.lit(""))), r"\A[\"']+|[\"']+\z", "")
-    rows = rows.withColumn("_bare", bare).withColumn("char_start", T.find(F.col(source), F.col("_bare")))
-    if lines:
-        rows = rows.withColumn("lines_before", T.line_of(F.col(source), F.col("char_start")) - 1)
+    rows = rows.withColumn("_bare", _bare(F.col(text)))
+    if source is not None:
+        rows = rows.withColumn("char_start", T.find(F.col(source), F.col("_bare"))).drop(source)
     early = F.when(F.col("_bare") == "", "unverified").when(F.length("_bare") > max_chars, "too_long").when(T.is_low_signal(F.col("_bare")), "low_signal")
     early = F.coalesce(early, F.when(F.col("char_start").isNull(), "unverified"))
-    rows = rows.withColumn("_early", early).drop(source)
+    rows = rows.withColumn("_early", early)
     # Only rows that would be verified compete; the first of each text wins.
     keys = [*by, "_bare"]
     firsts = rows.where("_early is null").groupBy(*[F.col(c).alias("_k_" + c) for c in keys]).agg(F.min(order).alias("_first"))

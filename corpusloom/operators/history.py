@@ -105,15 +105,16 @@ def previous(rows: DataFrame, by: Sequence[str], at: str, tie: str, keep: Sequen
     return joined.withColumn("before", F.coalesce("before", "_last")).drop("_bucket", "_last", *["_k_" + c for c in keys])
 
 
-def setting_changes(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Rows (on..., setting, before_value, after_value, change) for each setting that was added, removed or changed."""
+def settings_long(df: DataFrame, on: Sequence[str], name: str = "value") -> DataFrame:
+    """(on..., setting, value) for each setting of a row that is not null."""
+    rest = [c for c in df.columns if c not in on]
+    pairs = F.array(*[F.struct(F.lit(c).alias("setting"), F.col(c).cast("string").alias("value")) for c in rest])
+    return df.select(*on, F.explode(pairs).alias("_p")).select(*on, "_p.setting", F.col("_p.value").alias(name)).where(F.col(name).isNotNull())
 
-    def long(df: DataFrame, name: str) -> DataFrame:
-        rest = [c for c in df.columns if c not in on]
-        pairs = F.array(*[F.struct(F.lit(c).alias("setting"), F.col(c).cast("string").alias("value")) for c in rest])
-        return df.select(*on, F.explode(pairs).alias("_p")).select(*on, "_p.setting", F.col("_p.value").alias(name)).where(F.col(name).isNotNull())
 
-    joined = long(before, "before_value").join(long(after, "after_value"), [*on, "setting"], "full_outer")
+def setting_changes(before: DataFrame, after: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows (on..., setting, before_value, after_value, change) for each setting that was added, removed or changed."""
+    joined = settings_long(before, on, "before_value").join(settings_long(after, on, "after_value"), [*on, "setting"], "full_outer")
     change = F.when(F.col("before_value").isNull(), "add").when(F.col("after_value").isNull(), "remove").when(F.col("before_value") != F.col("after_value"), "update")
     return joined.withColumn("change", change).where("change is not null")
 

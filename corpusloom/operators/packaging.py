@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -52,6 +52,13 @@ def snippet_packs(rows: DataFrame, by: Sequence[str], most: int = 24, per_file:
     return packs.select(*by, "snippets", "files", "dropped", F.length("markdown").alias("chars"), (F.col("snippets") > 0).alias("fit"), "markdown")
 
 
+def with_size(markdown: Column) -> Column:
+    """A package under a line that states the characters of the whole, that line and its own digits included."""
+    rest = F.length(markdown) + len("Size:  characters\n")
+    whole = F.coalesce(*[F.when(F.length((rest + d).cast("string")) == d, rest + d) for d in range(1, 12)])
+    return F.concat(F.lit("Size: "), whole.cast("string"), F.lit(" characters\n"), markdown)
+
+
 def _lines(x: dict) -> list[str]:
     """An item as it is rendered."""
     return [f"## {x['title']}", "", x["abstract"], "", *[f"- {b}" for b in x["bullets"]], *[f"? {q}" for q in x["open_questions"]], *[f"> {s}" for s in x["snippets"]], f"Confidence: {x['confidence']}", ""]

@@ -104,9 +104,10 @@ def summarize(sources: DataFrame, client: ModelClient, s: Settings = Settings(),
     # Snippets: candidates of every chunk, verified in its part of the source, selected over the whole source.
     said = F.transform(F.filter(parsing.sections(F.col("response")), lambda x: x["section"] == "snippets"), lambda x: x["line"])
     cands = made.where("error is null").select("rel_path", "chunk_index", "char_start", "line_start", "source_span", said.alias("_said"))
-    cands = cands.select("*", F.posexplode(parsing.snippet_candidates(F.col("_said"))).alias("_i", "_c"))
-    cands = cands.select("rel_path", F.struct("chunk_index", "_i").alias("ord"), F.col("char_start").alias("chunk_start"), "line_start", "source_span", "_c.text", "_c.reason")
-    checked = cut(E.drop_reasons(cands, "source_span", ["rel_path"], "ord", s.snippet_chars, lines=True))
+    cands = cands.withColumn("_said", parsing.snippet_candidates(F.col("_said"))).withColumn("_found", E.placed(F.col("source_span"), F.col("_said")))
+    cands = cands.select("rel_path", "chunk_index", F.col("char_start").alias("chunk_start"), "line_start", F.posexplode("_found").alias("_i", "_c"))
+    cands = cands.select("rel_path", F.struct("chunk_index", "_i").alias("ord"), "chunk_start", "line_start", "_c.text", "_c.reason", "_c.char_start", "_c.lines_before")
+    checked = cut(E.drop_reasons(cands, None, ["rel_path"], "ord", s.snippet_chars))
     good = checked.where("drop_reason is null").withColumn("char_start", F.col("chunk_start") + F.col("char_start")).withColumn("line_no", F.col("line_start") + F.col("lines_before"))
     scored = E.scored(good.drop("lines_before", "line_start"), reason="reason")
     selected = cut(E.select_diverse(scored, ["rel_path"], s.snippets)) if s.snippets else scored.limit(0).withColumn("position", F.lit(0))

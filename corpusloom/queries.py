@@ -17,10 +17,12 @@ from corpusloom.operators import chunking as C
 from corpusloom.operators import evidence as E
 from corpusloom.operators import history as H
 from corpusloom.operators import packaging as K
+from corpusloom.operators import records
 from corpusloom.plans import contracts, model
 from corpusloom.plans import pipeline as P
 from corpusloom.session import distinct_rows as laid_out
 from corpusloom.session import small, spread, table
+from corpusloom.sources import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,20 +145,37 @@ def q_line_range(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(tails, "doc_id").select("doc_id", at.alias("char_start"), T.line_of(F.col("text"), at).alias("start_line"))
 
 
-@query(r"""with c as (select doc_id, rel_path, case when exists_vendor then 'built_in_skipped_dir' when regexp_matches(rel_path, '(?i)\.(json|log|csv|yaml)$') then 'built_in_skipped_suffix' end as built_in,
-   case when regexp_matches(rel_path, '^(?s:archive/.*)$') then 'archive/*' when regexp_matches(rel_path, '^(?s:.*/ledger-.*)$') then '**/ledger-*' when regexp_matches(rel_path, '^(?s:ledger-.*)$') then '**/ledger-*' end as excluded
-   from (select *, len(list_intersect(string_split(rel_path, '/')[1:-2], ['.git','__pycache__','bin','build','dist','node_modules','obj'])) > 0 as exists_vendor from documents where rel_path is not null))
- select coalesce(built_in, case when excluded is not null then 'excluded' end, 'selected') as outcome, coalesce(case when built_in is null then excluded end, '') as pattern, count(*) as files from c group by 1, 2""")
+_ENDINGS = "|".join(e.replace(".", r"\.") for e in folder.SKIPPED_ENDINGS)
+#: Every seventh document's path is given an ending that is not read, every eleventh a folder.
+_PATHS = rf"""p as (select doc_id, case when doc_id % 7 = 0 then rel_path || ['.MP4', '.heic', '.so', '.min.js', '.exe'][doc_id % 5 + 1] when doc_id % 11 = 0 then 'node_modules/' || rel_path else rel_path end as rel_path from documents where rel_path is not null),
+ c as (select *, case when len(list_intersect(string_split(rel_path, '/')[1:-2], [{", ".join(f"'{x}'" for x in folder.SKIPPED_FOLDERS)}])) > 0 then 'built_in_skipped_dir' when regexp_matches(lower(rel_path), '(?:{_ENDINGS})$') then 'built_in_skipped_suffix' end as built_in,
+   regexp_matches(rel_path, '\.(?:txt|md|so|log)$') as included, case when regexp_matches(rel_path, '^archive/') then 'archive/*' when regexp_matches(rel_path, '(?:^|/)ledger-') then '**/ledger-*' end as excluded from p),
+ s as (select rel_path, coalesce(built_in, case when not included then 'not_included_by_pattern' when excluded is not null then 'excluded_by_pattern' end) as skip_reason, case when built_in is null and included then excluded end as skip_pattern from c)"""
+
+
+def selected_paths(spark: SparkSession, folder_path: str) -> DataFrame:
+    """Paths of documents, some altered to what is never read, with why they are skipped."""
+    odd = F.concat("rel_path", F.element_at(F.array(*map(F.lit, (".MP4", ".heic", ".so", ".min.js", ".exe"))), (F.col("doc_id") % 5 + 1).cast("int")))
+    path = F.when(F.col("doc_id") % 7 == 0, odd).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("node_modules/"), "rel_path")).otherwise(F.col("rel_path"))
+    p = table(spark, folder_path, "documents").where("rel_path is not null").select(path.alias("rel_path"))
+    out = T.first_glob(F.col("rel_path"), ["archive/*", "**/ledger-*"])
+    wanted = T.first_glob(F.col("rel_path"), ["*.txt", "*.md", "*.so", "*.log"])
+    reason = F.coalesce(folder.skip_reason(F.col("rel_path")), F.when(wanted.isNull(), folder.NOT_INCLUDED), F.when(out.isNotNull(), folder.EXCLUDED))
+    return p.withColumn("skip_reason", reason).withColumn("skip_pattern", F.when(F.col("skip_reason") == folder.EXCLUDED, out))
+
+
+@query(f"with {_PATHS} select coalesce(skip_reason, 'selected') as outcome, coalesce(skip_pattern, '') as pattern, count(*) as files from s group by 1, 2")
 def q_glob(spark: SparkSession, folder: str) -> DataFrame:
-    """Files selected and skipped, with the reason: vendor folder, suffix, or the pattern that excludes."""
-    from corpusloom.sources.folder import skip_reason
+    """Files selected and skipped, with the reason: vendor folder, ending, or the pattern that excludes."""
+    paths = selected_paths(spark, folder)
+    return paths.groupBy(F.coalesce("skip_reason", F.lit("selected")).alias("outcome"), F.coalesce("skip_pattern", F.lit("")).alias("pattern")).agg(F.count(F.lit(1)).alias("files"))
+
 
-    paths = table(spark, folder, "documents").where("rel_path is not null").select("rel_path")
-    built_in = skip_reason(F.col("rel_path"), suffixes=(".json", ".log", ".csv", ".yaml"))
-    excluded = T.first_glob(F.col("rel_path"), ["archive/*", "**/ledger-*"])
-    outcome = F.coalesce(built_in, F.when(excluded.isNotNull(), "excluded"), F.lit("selected"))
-    pattern = F.coalesce(F.when(built_in.isNull(), excluded), F.lit(""))
-    return paths.groupBy(outcome.alias("outcome"), pattern.alias("pattern")).agg(F.count(F.lit(1)).alias("files"))
+@query(f"with {_PATHS} select rel_path, '- `' || rel_path || '` - ' || skip_reason || coalesce(' `' || skip_pattern || '`', '') as line, count(*) as files from s where skip_reason is not null group by 1, 2")
+def q_skipped_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Skipped files as they are listed, with reason and pattern."""
+    skipped = selected_paths(spark, folder).where("skip_reason is not null")
+    return records.skipped_lines(skipped).groupBy("rel_path", "line").agg(F.count(F.lit(1)).alias("files"))
 
 
 @query("""select doc_id, row_number() over (order by string_split(rel_path, '/'), doc_id) as job_number from documents where rel_path is not null""")
@@ -327,21 +346,28 @@ _CANDS = f"""{_LINES}, d as (select doc_id, {_nl("text")} as source from documen
  v as (select *, case when early is not null then early when row_number() over (partition by doc_id, bare, early is null order by ord) > 1 then 'duplicate' else 'verified' end as reason from g)"""
 
 
+def checked_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    """Snippet candidates (lines as they are, altered and quoted) with the reason for dropping them."""
+    documents = spread(table(spark, folder, "documents").where("text is not null")).select("doc_id", T.newlines(F.col("text")).alias("src"))
+    documents = documents.withColumn("lines", F.transform(F.split("src", "\n"), lambda x, i: F.struct((i + 1).alias("n"), T.strip(x).alias("text"))))
+    said = lambda k, text: F.struct(k.alias("ord"), text.alias("text"))
+    made = F.transform(
+        F.filter("lines", lambda x: x["text"] != ""),
+        lambda x: F.array(
+            said(x["n"] * 3, x["text"]),
+            F.when(x["n"] % 5 == 0, said(x["n"] * 3 + 1, F.concat(x["text"], F.lit(" never written")))),
+            F.when(x["n"] % 3 == 0, said(x["n"] * 3 + 2, F.concat(F.lit('"'), x["text"], F.lit('"')))),
+        ),
+    )
+    documents = documents.withColumn("made", F.array_compact(F.flatten(made))).withColumn("found", E.placed(F.col("src"), F.col("made")))
+    rows = documents.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.ord", "c.text", "c.char_start")
+    return E.drop_reasons(rows, None, ["doc_id"], "ord")
+
+
 @query(f"with {_CANDS} select doc_id, reason, count(*) as candidates from v group by 1, 2")
 def q_verify_drop_reasons(spark: SparkSession, folder: str) -> DataFrame:
-    """Snippet candidates (lines as they are, altered and quoted) per document and reason for dropping them."""
-    documents = spread(table(spark, folder, "documents").where("text is not null")).withColumn("source_text", T.newlines(F.col("text")))
-    lines = E.candidates(documents, keep=["source_text"])
-    made = F.array_compact(
-        F.array(
-            F.struct((F.col("line_no") * 3).alias("ord"), F.col("text").alias("text")),
-            F.when(F.col("line_no") % 5 == 0, F.struct((F.col("line_no") * 3 + 1).alias("ord"), F.concat("text", F.lit(" never written")).alias("text"))),
-            F.when(F.col("line_no") % 3 == 0, F.struct((F.col("line_no") * 3 + 2).alias("ord"), F.concat(F.lit('"'), "text", F.lit('"')).alias("text"))),
-        )
-    )
-    rows = lines.select("doc_id", "source_text", F.explode(made).alias("c")).select("doc_id", "source_text", "c.ord", "c.text")
-    dropped = E.drop_reasons(rows, "source_text", ["doc_id"], "ord")
-    return dropped.groupBy("doc_id", F.coalesce("drop_reason", F.lit("verified")).alias("reason")).agg(F.count(F.lit(1)).alias("candidates"))
+    """Snippet candidates per document and reason for dropping them."""
+    return checked_candidates(spark, folder).groupBy("doc_id", F.coalesce("drop_reason", F.lit("verified")).alias("reason")).agg(F.count(F.lit(1)).alias("candidates"))
 
 
 # A stand-in for a model's tagged lines, made by an expression that both engines can build.
@@ -406,7 +432,7 @@ def q_extract_dedupe_file(spark: SparkSession, folder: str) -> DataFrame:
 def q_extract_dedupe_run(spark: SparkSession, folder: str) -> DataFrame:
     """Items of all documents that mean the same as one, after each document's own limit."""
     rows = items_of(spark, folder).withColumn("source", F.struct("doc_id", "char_start", "snippet"))
-    per_file = E.merge_items(rows, ["doc_id"], 40).select("item_key", "kind", "text", "source_support", "rank_score", (F.col("doc_id") * 100000 + F.col("rank_in_group")).alias("ord"), F.struct("doc_id").alias("source"))
+    per_file = E.merge_items(rows, ["doc_id"], 40).select("item_key", "kind", "text", "source_support", "rank_score", F.struct("doc_id", "rank_in_group").alias("ord"), F.struct("doc_id").alias("source"))
     m = E.merge_items(per_file, [])
     return m.select("item_key", "kind", F.col("rank_score").cast("double").alias("rank_score"), F.col("n_merged").alias("documents"), F.size("sources").cast("bigint").alias("sources"))
 
@@ -417,14 +443,20 @@ def q_count_by_type(spark: SparkSession, folder: str) -> DataFrame:
     return items_of(spark, folder).groupBy("kind").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("""with e as (select event_id, json_keys(props) as ks, props from events), u as (select event_id, unnest(ks) as k, props from e)
- select k as attribute, json_extract_string(props, '$.' || k) as value, count(*) as events from u group by 1, 2""")
+# Attributes made of an event: ten keys, the first two again, in an order that the event's number turns.
+_PAIRS = "list_transform(range(0, 12), lambda i: ['a', 'B c', 'd', 'e', 'f', 'g', 'h', 'i', 'j', 'k'][((i + event_id) % 10 + 1)::int] || ' = ' || i || '-' || coalesce(event_type, ''))"
+
+
+@query(f"""with e as (select event_id, {_PAIRS} as l from events), u as (select event_id, unnest(l) as p, generate_subscripts(l, 1) as i from e),
+ s as (select event_id, i, replace(lower(split_part(p, ' = ', 1)), ' ', '_') as k, split_part(p, ' = ', 2) as v from u), f as (select event_id, k, min(i) as first from s group by 1, 2),
+ o as (select *, row_number() over (partition by event_id order by first) as n from f), lim as (select event_id, max(first) as last from o where n <= 8 group by 1)
+ select k as attribute, v as value, count(*) as events from (select s.event_id, s.k, max_by(s.v, s.i) as v from s join lim on lim.event_id = s.event_id and s.i <= lim.last group by 1, 2) group by 1, 2""")
 def q_attr_map(spark: SparkSession, folder: str) -> DataFrame:
-    """Properties of events as attributes, through the attribute parser."""
-    e = table(spark, folder, "events").select(F.from_json("props", "map<string,string>").alias("m"))
-    line = F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat(x["key"], F.lit("="), x["value"])), "; ")
-    pairs = e.select(F.explode(T.attributes(line)).alias("attribute", "value"))
-    return pairs.groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("events"))
+    """Attribute strings of events with more than eight keys, some repeated, through the attribute parser."""
+    names = F.array(*map(F.lit, ("a", "B c", "d", "e", "f", "g", "h", "i", "j", "k")))
+    pair = lambda i: F.concat(F.element_at(names, ((i + F.col("event_id")) % 10 + 1).cast("int")), F.lit(" = "), i.cast("string"), F.lit("-"), F.coalesce("event_type", F.lit("")))
+    e = table(spark, folder, "events").select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), pair), "; ").alias("line"))
+    return e.select(F.explode(T.attributes(F.col("line"))).alias("attribute", "value")).groupBy("attribute", "value").agg(F.count(F.lit(1)).alias("events"))
 
 
 @query()
@@ -538,18 +570,18 @@ def q_kind_compare(spark: SparkSession, folder: str) -> DataFrame:
     return H.compare(g.where("run_mode = 'summarize'"), g.where("run_mode = 'prompt'"), ["call_kind"], ["calls", "size"])
 
 
-@query(f"""with {_RECORDS}, p as (select *, lag(record_key) over (partition by label order by recorded_at, record_key) as prev from rec where label is not null),
+@query(f"""with {_RECORDS}, p as (select *, lag(record_key) over (partition by label order by recorded_at, record_key) as prev from rec),
  q as (select a.record_key, a.prev, concat_ws(',', """ + ", ".join(f"case when a.{c} is distinct from b.{c} then '{c}' end" for c in ("model", "profile", "run_mode", "schema_version", "status")) + """) as differs from p a join rec b on b.record_key = a.prev) select record_key, prev as base_key, differs from q""")
 def q_comparability(spark: SparkSession, folder: str) -> DataFrame:
     """Settings in which a record differs from the one before it under the same label."""
     names = ("model", "profile", "run_mode", "schema_version", "status")
-    r = distinct_rows(spark, folder, "dogfood_records").where("label is not null")
+    r = distinct_rows(spark, folder, "dogfood_records")
     both = H.previous(r, ["label"], "recorded_at", "record_key", ["record_key", *names], F.date_trunc("month", "recorded_at")).where("before is not null")
     differs = H.differing([(n, F.col(n), F.col("before." + n)) for n in names])
     return both.select("record_key", F.col("before.record_key").alias("base_key"), F.array_join(differs, ",").alias("differs"))
 
 
-@query(f"""with {_JOBS}, e as (select model, recorded_at as t, 1 as d from j where duration_ms > 0 and duration_ms < 10000000 union all select model, recorded_at + to_milliseconds(duration_ms), -1 from j where duration_ms > 0 and duration_ms < 10000000),
+@query(f"""with {_JOBS}, e as (select model, recorded_at as t, 1 as d from j where duration_ms > 0 union all select model, make_timestamptz(epoch_us(recorded_at) + duration_ms * 1000), -1 from j where duration_ms > 0),
  m as (select model, t, sum(d) as d from e group by all), s as (select model, sum(d) over (partition by model order by t) as n_open from m) select model, greatest(max(n_open), 0)::bigint as peak from s group by 1""")
 def q_concurrency_gauge(spark: SparkSession, folder: str) -> DataFrame:
     """The most jobs of each model at work at once, however long they take.
@@ -569,10 +601,10 @@ def q_concurrency_gauge(spark: SparkSession, folder: str) -> DataFrame:
 def q_config_diff(spark: SparkSession, folder: str) -> DataFrame:
     """Settings of the plans in use that differ from those of plan 1."""
     plans = table(spark, folder, "chunk_plans")
-    used = table(spark, folder, "text_chunks").select("plan_id").distinct()
-    after = used.join(plans, "plan_id")
-    before = used.join(small(plans.where("plan_id = 1").drop("plan_id").withColumn("_one", F.lit(1))), F.col("plan_id").isNotNull() & (F.col("_one") == 1)).drop("_one")
-    return H.setting_changes(before, after, ["plan_id"])
+    used = table(spark, folder, "text_chunks").select("plan_id").distinct().join(plans, "plan_id")
+    after = H.settings_long(used, ["plan_id"], "after_value")
+    before = H.settings_long(plans.where("plan_id = 1"), ["plan_id"], "before_value").drop("plan_id")
+    return after.join(before, "setting").where("before_value != after_value").withColumn("change", F.lit("update"))
 
 
 @query("""with r as (select distinct result_key, source, warnings from model_results), u as (select source, unnest(warnings) as w from r),
@@ -626,23 +658,55 @@ def q_bundle_items(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", "lang", "source").join(kept, "doc_id", "left").withColumn("snippets", F.coalesce("snippets", F.lit(0)))
 
 
-@query()
+_TURN = "row_number() over (partition by source order by r, best, -score, path, line_no, char_start, text)"
+
+
+@query(f"""with {_LINES}, {_SCORED}, s as (select d.source, c.*, c.doc_id::varchar as path, {_dup("c.text")} as key from scored c join documents d using (doc_id)),
+ kk as (select * from s where key != '' qualify row_number() over (partition by source, key order by -score, path, line_no, char_start, text) = 1),
+ g as (select *, row_number() over (partition by source, path order by -score, line_no, char_start, text) as r from kk qualify r <= 4),
+ f as (select *, first_value(struct_pack(a := -score, b := path, c := line_no, d := char_start, e := text)) over (partition by source, path order by r) as best from g),
+ p as (select *, {_TURN} as position, '- [' || score || '] ' || path || ': ' || text as line from f qualify position <= 24),
+ w as (select *, sum(length(line) + 1) over (partition by source order by position) - 1 as upto from p),
+ m as (select source, count(*) filter (upto <= 4000) as snippets, count(distinct path) filter (upto <= 4000) as files, count(*) filter (upto > 4000) as dropped, coalesce(string_agg(line, chr(10) order by position) filter (upto <= 4000), '') as markdown from w group by 1)
+ select source, snippets, files, dropped, length(markdown) as chars, snippets > 0 as fit, md5(markdown) as markdown_md5, length(markdown) + 18 + length((length(markdown) + 18)::varchar) + case when length((length(markdown) + 18 + length((length(markdown) + 18)::varchar))::varchar) > length((length(markdown) + 18)::varchar) then 1 else 0 end as stated_chars from m""")
 def q_snippet_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """A package of snippets per source folder under a budget of characters, rendered; checked by invariants in the tests."""
-    docs = table(spark, folder, "documents").where("source is not null").select("doc_id", "source")
-    rows = scored_lines(spark, folder).join(docs, "doc_id")
-    return K.snippet_packs(rows, ["source"], most=24, per_file=4, max_chars=4000)
+    """A package of snippets per source folder under a budget of characters, rendered, and the size that it states of itself."""
+    rows = scored_lines(spark, folder).join(table(spark, folder, "documents").select("doc_id", "source"), "doc_id")
+    packs = K.snippet_packs(rows, ["source"], most=24, per_file=4, max_chars=4000)
+    stated = F.length(K.with_size(F.col("markdown")))
+    return packs.select("source", "snippets", "files", "dropped", "chars", "fit", md5(F.col("markdown")).alias("markdown_md5"), stated.alias("stated_chars"))
 
 
 @query()
 def q_summary_bundle(spark: SparkSession, folder: str) -> DataFrame:
     """Summaries of a source's results bundled under a budget; checked by invariants in the tests."""
-    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null and source is not null").select("result_key", "source", "raw_response"), "result_key")
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "source", "raw_response"), "result_key")
     items = parsing.with_summary(r, "raw_response", "s").select("result_key", "source", "s.payload.*")
     return K.bundles(items, ["source"], "result_key", most=20, max_chars=6000)
 
 
 @query()
+def q_result_markdown(spark: SparkSession, folder: str) -> DataFrame:
+    """Responses read and rendered as Markdown, and what a compact template shows of them; checked in the tests."""
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response"), "result_key")
+    s = parsing.with_summary(r, "raw_response", "s").withColumn("s", F.col("s.payload"))
+    return s.select("result_key", md5(records.summary_markdown(F.col("s"))).alias("markdown_md5"), md5(F.to_json(records.shaped(F.col("s"), "compact"))).alias("compact_md5"))
+
+
+_KEYS = (("title", "string"), ("abstract", "string"), ("bullets", "array"), ("open_questions", "array"), ("confidence", "string"))
+_BODY = rf"""r as (select distinct result_key, raw_response from model_results where raw_response is not null),
+ x as (select result_key, {_strip("regexp_replace(regexp_replace(" + _strip("raw_response") + r", '^```[^" + chr(92) + r"n]*" + chr(92) + r"n', ''), '" + chr(92) + r"n```[^" + chr(92) + r"n]*$', '')")} as t from r),
+ b as (select result_key, case when json_valid(t) and starts_with(t, '{{') then t when json_valid(nullif(regexp_extract(t, '(?s)(\{{.*\}})', 1), '')) then regexp_extract(t, '(?s)(\{{.*\}})', 1) end as b from x)"""
+_ERRORS = " union all ".join(
+    ["select result_key, '$: is not JSON' as violation from b where b is null"]
+    + [f"select result_key, '$: lacks {k}' from b where b is not null and json_type(b, '$.{k}') is null" for k, _ in _KEYS]
+    + [f"select result_key, '$.{k}: must be {t}' from b where json_type(b, '$.{k}') != '{'VARCHAR' if t == 'string' else 'ARRAY'}'" for k, t in _KEYS]
+    + ["select result_key, '$.confidence: is not an allowed value' from b where json_type(b, '$.confidence') is not null and (json_type(b, '$.confidence') != 'VARCHAR' or b->>'$.confidence' not in ('low', 'medium', 'high'))"]
+    + [f"select result_key, '$.{k}[' || i || ']: must be string' from (select result_key, unnest(json_extract(b, '$.{k}[*]')) as v, generate_subscripts(json_extract(b, '$.{k}[*]'), 1) - 1 as i from b where json_type(b, '$.{k}') = 'ARRAY') where json_type(v) != 'VARCHAR'" for k, t in _KEYS if t == "array"]
+)
+
+
+@query(f"with {_BODY}, e as ({_ERRORS}) select violation, count(*) as results from b left join e using (result_key) group by 1")
 def q_contracts(spark: SparkSession, folder: str) -> DataFrame:
     """JSON responses checked against the contract of a summary: errors with their paths, per kind."""
     r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response"), "result_key")
@@ -650,6 +714,107 @@ def q_contracts(spark: SparkSession, folder: str) -> DataFrame:
     return checked.select(F.explode_outer("e").alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("results"))
 
 
+# --- Records --------------------------------------------------------------------------------------------------------
+
+_TENTHS = "(({0} + 50) // 1000) || '.' || (({0} + 50) // 100) % 10 || 's'"
+
+
+@query(f"""with {_JOBS} select job_key, strftime(recorded_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' as label, true as same, case when duration_ms is null then '' when duration_ms < 1000 then duration_ms || 'ms' when duration_ms < 60000 then {_TENTHS.format("duration_ms")}
+   else (duration_ms // 60000) || 'm ' || {_TENTHS.format("(duration_ms % 60000)")} end as took from j""")
+def q_time_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Times and durations of jobs as they are shown, and whether a time is read back to the millisecond."""
+    j = distinct_rows(spark, folder, "dogfood_jobs").select("job_key", "recorded_at", "duration_ms")
+    label = T.timestamp_label(F.col("recorded_at"))
+    return j.select("job_key", label.alias("label"), (T.timestamp_of(label) == F.date_trunc("millisecond", "recorded_at")).alias("same"), T.duration_label(F.col("duration_ms")).alias("took"))
+
+
+@query("""with e as (select event_id, (props->>'$.k')::bigint as k from events),
+ s as (select k, case event_id % 5 when 0 then k when 1 then k when 3 then k end as whole, case when event_id % 5 in (0, 1, 3) and k between 1 and 5 then k end as score, k::varchar as text, event_id % 5 as m from e)
+ select m::bigint as shape, whole, score::int as score, case when m = 2 then case when k % 2 = 1 then 'true' else 'false' end when m = 1 then k || '.5' else case when m = 4 then 'k' || text else text end end as text, count(*) as events from s group by all""")
+def q_json_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Fields of JSON texts at a dotted path: as text, as a lenient whole number and as a score; the values are numbers, fractions,
+    truth values, texts with a number and others."""
+    k = T.at_path(F.col("props"), "k").cast("bigint")
+    m = F.col("event_id") % 5
+    value = F.when(m == 0, k.cast("string")).when(m == 1, F.concat(k.cast("string"), F.lit(".5"))).when(m == 2, (k % 2 == 1).cast("string")).when(m == 3, F.concat(F.lit('"'), k.cast("string"), F.lit('"'))).otherwise(F.concat(F.lit('"k'), k.cast("string"), F.lit('"')))
+    e = table(spark, folder, "events").select(m.alias("shape"), F.concat(F.lit('{"a": {"b": '), value, F.lit("}}")).alias("j"))
+    e = e.select("shape", T.whole_number(F.col("j"), "a.b").alias("whole"), T.score(F.col("j"), "a.b").alias("score"), T.at_path(F.col("j"), "a.b").alias("text"))
+    return e.groupBy("shape", "whole", "score", "text").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query(f"""with {_JOBS} select record_key, count(*) as total, greatest(0, count(*) - count(*) filter (status in ('complete', 'complete_with_warnings')) - count(*) filter (status = 'running') - count(*) filter (status = 'failed')) as waiting from j group by 1""")
+def q_progress(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs of each record in all and those that still wait."""
+    c = H.state_counts(distinct_rows(spark, folder, "dogfood_jobs"), ["record_key"])
+    done = F.col("complete") + F.col("complete_with_warnings")
+    return c.select("record_key", "total", T.queued(F.col("total"), done, F.col("running"), F.col("failed")).alias("waiting"))
+
+
+@query(rf"""select plan_id, budget, count(*) as chunks, count(*) filter (n <= budget) as within from (select plan_id, greatest(1, least(4096, floor(chunk_chars * 2 * 0.85)::int - 1024)) as budget from chunk_plans)
+ join (select distinct chunk_key, plan_id, case when length(text) <= 0 then 0 else floor((length(text) + 3) / 4.0) end as n from text_chunks where text is not null) using (plan_id) group by 1, 2""")
+def q_token_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks per plan, and those within the token budget of a context of twice the plan's characters."""
+    plans = table(spark, folder, "chunk_plans").select("plan_id", T.token_budget(F.col("chunk_chars") * 2).alias("budget"))
+    c = table(spark, folder, "text_chunks").where("text is not null").select("chunk_key", "plan_id", T.estimate_tokens(F.length("text")).alias("n")).distinct()
+    return c.join(small(plans), "plan_id").groupBy("plan_id", "budget").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col("n") <= F.col("budget")).alias("within"))
+
+
+@query("select case when starts_with(rel_path, 'archive/') then rel_path[9:] else rel_path end as shown, count(*) as files from documents where rel_path is not null group by 1")
+def q_display_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Paths as they are shown from one folder."""
+    return table(spark, folder, "documents").where("rel_path is not null").groupBy(T.below(F.col("rel_path"), "archive").alias("shown")).agg(F.count(F.lit(1)).alias("files"))
+
+
+_STATUS = f"""{_CANDS}, st as (select d.doc_id, least(greatest(ceil(length(d.text) / 12000.0), 2), 8)::bigint as requested, count(*) as candidates, count(*) filter (reason = 'verified') as verified, """ + ", ".join(f"count(*) filter (reason = '{r}') as dropped_{r}" for r in records.DROP_REASONS) + """
+ from v join documents d using (doc_id) group by 1, 2), status as (select *, least(requested, verified) as selected from st)"""
+
+
+def snippet_statuses(spark: SparkSession, folder: str) -> DataFrame:
+    size = table(spark, folder, "documents").select("doc_id", "source", F.length("text").alias("_n"))
+    rows = checked_candidates(spark, folder).select("doc_id", "drop_reason").join(size, "doc_id")
+    return records.snippet_status(rows, ["doc_id", "source"], T.snippet_request(F.max("_n")))
+
+
+@query(f"with {_STATUS} select * from status")
+def q_snippet_status(spark: SparkSession, folder: str) -> DataFrame:
+    """Snippets requested, found, verified, selected and dropped per document."""
+    return snippet_statuses(spark, folder).withColumn("requested", F.col("requested").cast("bigint")).drop("source")
+
+
+@query(f"with {_STATUS} select source, count(*) as jobs, " + ", ".join(f"sum({c})::bigint as {c}" for c in ("requested", "candidates", "verified", "selected", *["dropped_" + r for r in records.DROP_REASONS])) + " from status join documents using (doc_id) group by 1")
+def q_quality_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, summed per source."""
+    return records.quality_totals(snippet_statuses(spark, folder), ["source"])
+
+
+@query(f"""with {_TAGGED}, c as (select doc_id, count(*) as candidates, count(*) filter (problem is null) as parsed, count(*) filter (problem = 'invalid') as invalid, count(*) filter (problem = 'unsupported_type') as unsupported from p group by 1),
+ w as (select doc_id, string_agg(ord, ',' order by ord) as samples from (select * from p where problem = 'invalid' qualify row_number() over (partition by doc_id order by ord) <= 5) group by 1) select c.*, coalesce(w.samples, '') as samples from c left join w using (doc_id)""")
+def q_diagnostics(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines read, parsed, invalid and unsupported per document, with the first five invalid ones (their numbers)."""
+    e = extracted(spark, folder).withColumn("_raw", F.col("ord").cast("string"))
+    return records.diagnostics(e, ["doc_id"], "ord", "_raw").withColumn("samples", F.array_join("samples", ","))
+
+
+@query("select run_path, run_id, status, epoch_us(recorded_at) as recorded_us from (select distinct * exclude (ingested_at) from dogfood_records) where run_path is not null and status is not null qualify row_number() over (partition by run_path order by recorded_at desc, run_id desc, status desc) = 1")
+def q_run_catalogue(spark: SparkSession, folder: str) -> DataFrame:
+    """One entry per run path from all deliveries, the last one recorded."""
+    c = records.catalogue(table(spark, folder, "dogfood_records").select("run_path", "run_id", "status", "recorded_at"))
+    return c.select("run_path", "run_id", "status", F.unix_micros("recorded_at").alias("recorded_us"))
+
+
+@query(f"""with {_LINES} select doc_id, line_no, char_start as start_char, (char_start + length(text))::bigint as end_char, line_no as start_line, case when line_no % 3 = 0 then 'other/' || doc_id end as source_path, md5(text) as text_md5 from lines""")
+def q_snippet_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Snippets written as JSON under either name of their places, read back as records."""
+    job = F.concat(F.lit("job/"), F.col("doc_id").cast("string"))
+    end = F.col("char_start") + F.length("text")
+    path = F.when(F.col("line_no") % 3 == 0, F.concat(F.lit("other/"), F.col("doc_id").cast("string"))).otherwise(job)
+    a = F.to_json(F.struct(F.concat(F.lit("  "), "text").alias("text"), F.col("char_start").alias("start_char"), end.alias("end_char"), F.col("line_no").cast("string").alias("start_line"), path.alias("source_path")))
+    b = F.to_json(F.struct("text", "char_start", end.cast("string").alias("char_end"), F.col("line_no").alias("start_line"), path.alias("source_path")))
+    rows = lines_of(spark, folder).select("doc_id", "line_no", job.alias("job"), F.when(F.col("line_no") % 2 == 0, a).otherwise(b).alias("j"))
+    r = rows.select("doc_id", "line_no", records.snippet_record(F.col("job"), F.col("j")).alias("r"))
+    return r.select("doc_id", "line_no", "r.start_char", "r.end_char", "r.start_line", "r.source_path", md5(F.col("r.text")).alias("text_md5"))
+
+
 @query()
 def q_pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
     """A whole summarize run over all documents with the extractive stand-in for a model: jobs with status, chunks, verified
