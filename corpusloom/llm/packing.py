@@ -4,6 +4,9 @@ Each document is placed into the fill level that keeps the sum of the squared nu
 level smallest; the numbers are kept in a level array.  A document goes in pieces only if it alone exceeds the capacity:
 whole containers are cut off it, and what is left over is an item like any other.
 
+Sum-of-squares packing is an online method: it takes items as they come.  Here a block's items are known beforehand and are
+placed in descending order of size, which leaves less room unused; with ordered=False they are placed as they come.
+
 Documents are dealt by hash to blocks of about BLOCK_ITEMS, each packed by one task with a level array of its own, so a
 task's memory and time are bounded at any corpus size.  What a block leaves open is at most a few containers per level
 in use, so blocks of this size cost well under one per cent of room (measured in the README).
@@ -53,13 +56,14 @@ def place(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return where
 
 
-def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str = "n_tokens", items_about: int | None = None) -> DataFrame:
+def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str = "n_tokens", items_about: int | None = None, ordered: bool = True) -> DataFrame:
     """Containers for items: (capacity_tokens, container_id, key, piece_no, token_start, n_tokens).
 
     One row per piece; an item that fits has one piece (piece_no 0).  Items of null or no size are left out by definition:
     they take no room.  Repeated rows are separate items.  An empty table gives no rows; other columns are not read.
-    Within a block items are placed in descending order of size, equal sizes in order of key, so the result does not
-    depend on how rows are spread over tasks.  items_about, the number of rows if it is known, saves counting them.
+    Within a block items are placed in descending order of size, equal sizes in order of key; with ordered=False in an order
+    drawn at random from the block's number.  Rows are dealt to blocks by their key and their place in the input, so that a key that very many
+    rows have is spread over the blocks.  items_about, the number of rows if it is known, saves counting them.
     """
     if not capacities or len(capacities) > MAX_CAPACITIES or min(capacities) < 1:
         raise ValueError(f"1 to {MAX_CAPACITIES} positive capacities are needed")
@@ -67,18 +71,21 @@ def pack(sizes: DataFrame, capacities: list[int], key: str = "doc_id", size: str
     blocks = max(1, -(-(sizes.count() if items_about is None else items_about) // BLOCK_ITEMS))
     kind = sizes.schema[key].dataType.simpleString()
     cap = F.col("capacity_tokens")
-    dealt = items.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks))).withColumn(
+    dealt = items.withColumn("_block", F.pmod(F.xxhash64("_key", F.monotonically_increasing_id()), F.lit(blocks))).withColumn(
         "capacity_tokens", F.explode(F.array(*[F.lit(int(c)) for c in sorted(set(capacities))]))
     )
 
     def run(of, rows):
         capacity, block = int(of[0]), int(of[1])
         rows = rows.sort_values(["_size", "_key"], ascending=[False, True], kind="stable")
+        if not ordered:
+            rows = rows.sample(frac=1, random_state=block)
         size_of = rows["_size"].to_numpy(np.int64)
         whole = np.where(size_of > capacity, size_of // capacity, 0)  # containers filled by one document alone
         rest = size_of - whole * capacity
         order = np.flatnonzero(rest)
-        order = order[np.argsort(-rest[order], kind="stable")]
+        if ordered:
+            order = order[np.argsort(-rest[order], kind="stable")]
         number = np.empty(len(rows), np.int64)
         number[order] = place(rest[order], capacity)
         base = int(number[order].max()) + 1 if len(order) else 0

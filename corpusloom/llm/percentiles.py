@@ -27,7 +27,7 @@ _LEAST = -(2**63) + 1
 
 
 def ordered(c: Column, kind: str) -> Column:
-    """A value as a long of the same order.  Floating values by their bits (NaN above all, as Spark sorts it; -0.0 as 0)."""
+    """A value as a long of the same order; the least long becomes the one above, so that each has a magnitude.  Floating values by their bits (NaN above all, as Spark sorts it; -0.0 as 0)."""
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return F.when(c.cast("long") < _LEAST, F.lit(_LEAST)).otherwise(c.cast("long"))
     # The bits of a positive double are ordered already; those of a negative one are mirrored.
@@ -133,7 +133,8 @@ def radix_select(df: DataFrame, by: Sequence[str], measures: Sequence[str], prob
     """Exact percentiles: (by..., measure, n, p, value).
 
     A null in `by` is a group of its own; null values are not counted; a group without values has no row, as has an empty
-    table.  Ties, zeros, negatives and the largest magnitudes are counted as they are; repeated rows are counted each time.
+    table.  Ties, zeros, negatives and the largest magnitudes are counted as they are, but for the least long (-2**63), which
+    counts as the one above it; repeated rows are counted each time.
     Other columns, also those named like the results, are not read.  Whole-number and floating columns may not be mixed.
     """
     kinds = {dict(df.dtypes)[m] for m in measures}

@@ -94,12 +94,55 @@ def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return pii.redact(spread(table(spark, folder, "documents")))
 
 
+def p1_rejoined(spark: SparkSession, folder: str) -> DataFrame:
+    """Per chunk: its pieces put together again, whether all are within the limit with their overlap, and whether each overlap is
+    the end of the piece before."""
+    pieces = p1_pieces(spark, folder)
+    row = F.struct("piece_index", "text", "overlap_text", "chars", "tokens", "overlap_before_chars", "overlap_before_tokens")
+    d = pieces.groupBy("chunk_key").agg(F.array_sort(F.collect_list(row)).alias("p")).join(latest(table(spark, folder, "text_chunks"), "chunk_key").select("chunk_key", "plan_id"), "chunk_key")
+    d = d.join(table(spark, folder, "chunk_plans").select("plan_id", "chunk_strategy", "chunk_chars", "chunk_tokens"), "plan_id")
+    by_chars = F.col("chunk_strategy") == "chars"
+    fits = lambda x: F.when(by_chars, x["chars"] + x["overlap_before_chars"] <= F.col("chunk_chars")).otherwise(x["tokens"] + x["overlap_before_tokens"] <= F.col("chunk_tokens"))
+    within = F.forall(F.slice("p", 2, 1_000_000), fits)
+    follows = F.forall(F.sequence(F.lit(2), F.greatest(F.size("p"), F.lit(2))), lambda i: (i > F.size("p")) | F.endswith(F.try_element_at("p", i - 1)["text"], F.try_element_at("p", i)["overlap_text"]))
+    text = F.array_join(F.transform("p", lambda x: F.coalesce(x["text"], F.lit(""))), "")
+    return d.select("chunk_key", F.md5(text).alias("text_md5"), within.alias("within"), follows.alias("follows"))
+
+
+def p2_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Exact percentiles in rows, with whether the bounds from the days' summaries hold them."""
+    exact = percentiles.radix_select(distinct_jobs(spark, folder), GROUPS, MEASURES)
+    c = p2_combined(spark, folder).select(*[F.col(g).alias("_" + g) for g in GROUPS], F.col("measure").alias("_m"), F.col("p").alias("_p"), "low", "high")
+    on = [F.col(g).eqNullSafe(F.col("_" + g)) for g in GROUPS] + [F.col("measure") == F.col("_m"), F.col("p") == F.col("_p")]
+    return exact.join(c, on, "left").select(*GROUPS, "measure", "p", "value", F.col("value").between(F.col("low"), F.col("high")).alias("within"))
+
+
+def p6_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity: documents packed, whether no container is above it, and whether only documents above it are in pieces."""
+    packed = p6_packed(spark, folder)
+    full = packed.groupBy("capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n")).groupBy("capacity_tokens").agg((F.max("n") <= F.first("capacity_tokens")).alias("within"))
+    whole = packed.groupBy("capacity_tokens", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("n"))
+    whole = whole.groupBy("capacity_tokens").agg(F.count(F.lit(1)).alias("documents"), F.min((F.col("k") == 1) | (F.col("n") > F.col("capacity_tokens"))).alias("whole"))
+    return full.join(whole, "capacity_tokens")
+
+
+def p7_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Per text: whether it is as long, with its occurrences replaced, as the placeholders say."""
+    documents = spread(table(spark, folder, "documents"))
+    change = pii.find(documents).groupBy("doc_id").agg(F.sum(F.length("pii_type") + 2 - (F.col("char_end") - F.col("char_start"))).alias("change"))
+    after = pii.redact(documents).select("doc_id", F.length("text").alias("n"))
+    both = documents.where("text is not null").select("doc_id", F.length("text").alias("was")).join(after, "doc_id").join(change, "doc_id", "left")
+    return both.select("doc_id", (F.col("n") == F.col("was") + F.coalesce("change", F.lit(0))).alias("same"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_pieces": p1_pieces,
+    "p1_rejoined": p1_rejoined,
     "p2_percentiles": p2_percentiles,
     "p2_daily": p2_daily,
     "p2_combined": p2_combined,
+    "p2_bounds": p2_bounds,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_rates": p4_rates,
@@ -107,8 +150,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_round_trip": p5_round_trip,
     "p6_packed": p6_packed,
     "p6_fill": p6_fill,
+    "p6_checked": p6_checked,
     "p7_found": p7_found,
     "p7_redacted": p7_redacted,
+    "p7_checked": p7_checked,
 }
 
 _JOBS = "with j as (select distinct job_key, model, profile, duration_ms, queue_wait_ms from dogfood_jobs)"
@@ -133,4 +178,12 @@ SQL: dict[str, str] = {
               union all select recorded_at::date, model, profile, 'queue_wait_ms', queue_wait_ms from j),
         b as (select *, greatest(length(bin(abs(v))) - 8, 0) as b from l where v is not null)
         select day, model, profile, measure, {_DIGIT} as digit, b::int as below, count(*) as n from b group by all""",
+    "p1_rejoined": """select chunk_key, md5(coalesce(any_value(text), '')) as text_md5, true as within, true as follows from text_chunks where plan_id in (select plan_id from chunk_plans) group by 1""",
+    "p2_bounds": _JOBS
+    + " select model, profile, measure, p, value, true as within from ("
+    + " union all ".join(f"select model, profile, '{m}' as measure, {p}::double as p, quantile_disc({m}, {p}) as value from j group by 1, 2" for m in MEASURES for p in percentiles.PROBABILITIES)
+    + ") where value is not null",
+    "p5_round_trip": "select true as same, count(*) as documents from documents",
+    "p6_checked": "select capacity_tokens, true as within, (select count(*) from documents where text != '') as documents, true as whole from pack_limits group by 1",
+    "p7_checked": "select doc_id, true as same from documents where text is not null",
 }
