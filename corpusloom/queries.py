@@ -22,7 +22,7 @@ from corpusloom.plans import contracts, model
 from corpusloom.plans import pipeline as P
 from corpusloom.session import distinct_rows as laid_out
 from corpusloom.session import small, spread, table
-from corpusloom.sources import folder
+from corpusloom.sources import folder as sources
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -145,23 +145,23 @@ def q_line_range(spark: SparkSession, folder: str) -> DataFrame:
     return d.join(tails, "doc_id").select("doc_id", at.alias("char_start"), T.line_of(F.col("text"), at).alias("start_line"))
 
 
-_ENDINGS = "|".join(e.replace(".", r"\.") for e in folder.SKIPPED_ENDINGS)
+_ENDINGS = "|".join(e.replace(".", r"\.") for e in sources.SKIPPED_ENDINGS)
 #: Every seventh document's path is given an ending that is not read, every eleventh a folder.
 _PATHS = rf"""p as (select doc_id, case when doc_id % 7 = 0 then rel_path || ['.MP4', '.heic', '.so', '.min.js', '.exe'][doc_id % 5 + 1] when doc_id % 11 = 0 then 'node_modules/' || rel_path else rel_path end as rel_path from documents where rel_path is not null),
- c as (select *, case when len(list_intersect(string_split(rel_path, '/')[1:-2], [{", ".join(f"'{x}'" for x in folder.SKIPPED_FOLDERS)}])) > 0 then 'built_in_skipped_dir' when regexp_matches(lower(rel_path), '(?:{_ENDINGS})$') then 'built_in_skipped_suffix' end as built_in,
+ c as (select *, case when len(list_intersect(string_split(rel_path, '/')[1:-2], [{", ".join(f"'{x}'" for x in sources.SKIPPED_FOLDERS)}])) > 0 then 'built_in_skipped_dir' when regexp_matches(lower(rel_path), '(?:{_ENDINGS})$') then 'built_in_skipped_suffix' end as built_in,
    regexp_matches(rel_path, '\.(?:txt|md|so|log)$') as included, case when regexp_matches(rel_path, '^archive/') then 'archive/*' when regexp_matches(rel_path, '(?:^|/)ledger-') then '**/ledger-*' end as excluded from p),
  s as (select rel_path, coalesce(built_in, case when not included then 'not_included_by_pattern' when excluded is not null then 'excluded_by_pattern' end) as skip_reason, case when built_in is null and included then excluded end as skip_pattern from c)"""
 
 
-def selected_paths(spark: SparkSession, folder_path: str) -> DataFrame:
+def selected_paths(spark: SparkSession, folder: str) -> DataFrame:
     """Paths of documents, some altered to what is never read, with why they are skipped."""
     odd = F.concat("rel_path", F.element_at(F.array(*map(F.lit, (".MP4", ".heic", ".so", ".min.js", ".exe"))), (F.col("doc_id") % 5 + 1).cast("int")))
     path = F.when(F.col("doc_id") % 7 == 0, odd).when(F.col("doc_id") % 11 == 0, F.concat(F.lit("node_modules/"), "rel_path")).otherwise(F.col("rel_path"))
-    p = table(spark, folder_path, "documents").where("rel_path is not null").select(path.alias("rel_path"))
+    p = table(spark, folder, "documents").where("rel_path is not null").select(path.alias("rel_path"))
     out = T.first_glob(F.col("rel_path"), ["archive/*", "**/ledger-*"])
     wanted = T.first_glob(F.col("rel_path"), ["*.txt", "*.md", "*.so", "*.log"])
-    reason = F.coalesce(folder.skip_reason(F.col("rel_path")), F.when(wanted.isNull(), folder.NOT_INCLUDED), F.when(out.isNotNull(), folder.EXCLUDED))
-    return p.withColumn("skip_reason", reason).withColumn("skip_pattern", F.when(F.col("skip_reason") == folder.EXCLUDED, out))
+    reason = F.coalesce(sources.skip_reason(F.col("rel_path")), F.when(wanted.isNull(), sources.NOT_INCLUDED), F.when(out.isNotNull(), sources.EXCLUDED))
+    return p.withColumn("skip_reason", reason).withColumn("skip_pattern", F.when(F.col("skip_reason") == sources.EXCLUDED, out))
 
 
 @query(f"with {_PATHS} select coalesce(skip_reason, 'selected') as outcome, coalesce(skip_pattern, '') as pattern, count(*) as files from s group by 1, 2")
@@ -293,8 +293,25 @@ def q_heading_ancestry(spark: SparkSession, folder: str) -> DataFrame:
 def q_reduce_batches(spark: SparkSession, folder: str) -> DataFrame:
     """Payloads of each job in batches for the reduce step."""
     r = table(spark, folder, "model_results").where("markdown is not null").select("result_key", "record_key", "job_id", (F.length("markdown") + 40).alias("size")).distinct()
-    packed = r.groupBy("record_key", "job_id").agg(F.array_sort(F.collect_list(F.struct("result_key", "size"))).alias("p"))
-    return packed.select("record_key", "job_id", F.explode(C.batches(F.transform("p", lambda x: x["size"]), 3000)).alias("b")).groupBy("record_key", "job_id", (F.col("b") + 1).alias("batch")).agg(F.count(F.lit(1)).alias("payloads"))
+    return C.batched(r, ["record_key", "job_id"], ["result_key"], "size", 3000).groupBy("record_key", "job_id", "batch").agg(F.count(F.lit(1)).alias("payloads"))
+
+
+_HEAD = len(C.HEADER % ("", 9999, 9999, 9999) + C.BODY)
+
+
+@query(rf"""with recursive doc as (select doc_id, {_nl("text")} as text, greatest(4000 - {_HEAD} - length(doc_id::varchar), 1) as most from documents where text is not null),
+ para as (select doc_id, most, list_filter(list_transform(regexp_split_to_array(text, '\n[{_SP}]*\n'), lambda x: {_strip("x")}), lambda x: x != '') as ps from doc where length(text) > 4000),
+ units as (select doc_id, any_value(most) as most, list(n order by i, k) as ns from (select doc_id, most, i, k, least(most, length(p) - k * most) as n from (select doc_id, most, p, i, unnest(range(0, (length(p) - 1) // most + 1)) as k from (select doc_id, most, unnest(ps) as p, generate_subscripts(ps, 1) as i from para))) group by 1),
+ rec(doc_id, i, k, size) as (select doc_id, 1::bigint, 1, ns[1] from units union all select r.doc_id, r.i + 1, case when r.size + 2 + u.ns[r.i + 1] <= u.most then r.k else r.k + 1 end, case when r.size + 2 + u.ns[r.i + 1] <= u.most then r.size + 2 + u.ns[r.i + 1] else u.ns[r.i + 1] end from rec r join units u on u.doc_id = r.doc_id and r.i < len(u.ns))
+ select doc_id, coalesce(max(k), 1)::bigint as chunks, true as within from doc left join rec using (doc_id) group by 1""")
+def q_plan_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Chunks per document for calls of at most 4,000 characters: one for a text within it, else planned with room for the lines
+    that a chunk is shown with; and whether all are within it as shown."""
+    d = chunk_sources(spark, folder)
+    one = d.where(F.length("text") <= 4000).select("doc_id", F.lit(1).cast("bigint").alias("chunks"), F.lit(True).alias("within"))
+    c = C.plan(d.where(F.length("text") > 4000), 4000, path="doc_id", header=True)
+    shown = F.length(C.render(F.col("doc_id").cast("string"), F.col("chunk_index"), F.col("chunk_total"), F.col("text"), F.array().cast(C.HEADING), F.lit("")))
+    return one.unionByName(c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), (F.max(shown) <= 4000).alias("within")))
 
 
 @query(rf"""select doc_id, true as within, true as numbered, len(w)::bigint as words, md5(array_to_string(w, ' ')) as words_md5 from (select doc_id, regexp_extract_all({_nl("text")}, '[^{_SP}]+') as w from documents where text is not null)""")
@@ -802,6 +819,50 @@ def q_run_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return c.select("run_path", "run_id", "status", F.unix_micros("recorded_at").alias("recorded_us"))
 
 
+_RESULTS = "res as (select record_key, job_id, max(raw_response) as payload, max(markdown) as markdown from model_results group by 1, 2)"
+
+
+def job_results(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, one result per job)."""
+    jobs = distinct_rows(spark, folder, "dogfood_jobs").select("job_key", "record_key", "job_id", "status")
+    results = table(spark, folder, "model_results").groupBy("record_key", "job_id").agg(F.max("raw_response").alias("payload"), F.max("markdown").alias("markdown"))
+    return jobs, results
+
+
+@query(f"""with {_JOBS}, {_RESULTS}, x as (select j.status, payload from j left join res on res.record_key = j.record_key and res.job_id = j.job_id)
+ select status, case when status not in ('complete', 'complete_with_warnings') then 'job_not_complete' when payload is null then 'missing_result' when not json_valid(payload) then 'malformed_json' else 'no_snippets' end as skip_reason, count(*) as jobs from x group by 1, 2""")
+def q_job_results(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs per state and reason why their result has no snippets to offer (the tables' results have none)."""
+    jobs, results = job_results(spark, folder)
+    return sources.results_with_reasons(jobs, results, ["record_key", "job_id"]).groupBy("status", "skip_reason").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query(f"""with {_JOBS}, {_RESULTS}, x as (select j.status, payload, markdown from j left join res on res.record_key = j.record_key and res.job_id = j.job_id)
+ select status, payload is not null as has_json, markdown is not null as has_markdown, case when status not in ('complete', 'complete_with_warnings') then 'job_not_complete' when payload is null and markdown is null then 'missing_result_artifacts' when payload is not null and not json_valid(payload) then 'malformed_json' else 'collected' end as outcome, count(*) as jobs from x group by all""")
+def q_collection(spark: SparkSession, folder: str) -> DataFrame:
+    """Jobs with the artifacts found for them, counted by state and outcome."""
+    jobs, results = job_results(spark, folder)
+    c = K.collection(jobs, results.withColumnRenamed("payload", "json"), ["record_key", "job_id"])
+    return c.groupBy("status", "has_json", "has_markdown", "outcome").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query(f"""with {_JOBS}, s as (select model, count(*) filter (date_part('day', recorded_at) > 15) - count(*) filter (date_part('day', recorded_at) <= 15) as d from j group by 1) select model, case when d > 0 then '+' || d else d::varchar end as change from s""")
+def q_delta_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Per model, how many more jobs the second half of the month has, as it is shown."""
+    j = distinct_rows(spark, folder, "dogfood_jobs")
+    late = F.dayofmonth("recorded_at") > 15
+    return j.groupBy("model").agg((F.count_if(late) - F.count_if(~late)).alias("d")).select("model", T.sign(F.col("d")).alias("change"))
+
+
+@query(f"""with {_BODY}, k as (select b, case when b is not null then json_keys(b) else [] end as ks from b), s as (select list_has_all(ks, ['title', 'abstract', 'bullets']) as a, list_has_all(ks, ['items']) as i, list_has_all(ks, ['title', 'confidence']) as c from k)
+ select case when a::int + i::int + c::int = 1 then case when a then 'summary' when i then 'extract' else 'rated' end end as shape, count(*) as results from s group by 1""")
+def q_shapes(spark: SparkSession, folder: str) -> DataFrame:
+    """JSON responses by the one contract whose marking keys they have."""
+    r = laid_out(table(spark, folder, "model_results").where("raw_response is not null").select("result_key", "raw_response"), "result_key")
+    shape = contracts.shape(parsing.json_body(F.col("raw_response")), {"summary": ["title", "abstract", "bullets"], "extract": ["items"], "rated": ["title", "confidence"]})
+    return r.select(shape.alias("shape")).groupBy("shape").agg(F.count(F.lit(1)).alias("results"))
+
+
 @query(f"""with {_LINES} select doc_id, line_no, char_start as start_char, (char_start + length(text))::bigint as end_char, line_no as start_line, case when line_no % 3 = 0 then 'other/' || doc_id end as source_path, md5(text) as text_md5 from lines""")
 def q_snippet_records(spark: SparkSession, folder: str) -> DataFrame:
     """Snippets written as JSON under either name of their places, read back as records."""
@@ -819,6 +880,6 @@ def q_snippet_records(spark: SparkSession, folder: str) -> DataFrame:
 def q_pipeline_run(spark: SparkSession, folder: str) -> DataFrame:
     """A whole summarize run over all documents with the extractive stand-in for a model: jobs with status, chunks, verified
     and selected snippets."""
-    sources = spread(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.col("text").alias("content")))
-    run = P.summarize(sources, model.ExtractiveStub(), P.Settings(chunk_chars=4000, overlap_chars=200))
+    texts = spread(table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("rel_path"), F.col("text").alias("content")))
+    run = P.summarize(texts, model.ExtractiveStub(), P.Settings(chunk_chars=4000, overlap_chars=200))
     return run.jobs.select("rel_path", "status", "chunks", "verified", "selected", "title")
