@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column
@@ -56,21 +57,32 @@ def newlines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n?", "\n")
 
 
+def _trim(c: Column, chars: str) -> Column:
+    """Without the given characters at both ends; unlike a regular expression it looks at the ends only."""
+    return F.btrim(c, F.lit(chars))
+
+
 def strip(c: Column) -> Column:
     """Without white space, of any kind, at both ends."""
-    return F.regexp_replace(c, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return _trim(c, SPACE_CHARS)
+
+
+def _single_spaced(c: Column) -> Column:
+    """Runs of white space as one space."""
+    plain = F.translate(c, SPACE_CHARS, " " * len(SPACE_CHARS))
+    return F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " {2,}", " ")).otherwise(plain)
 
 
 def collapse(c: Column) -> Column:
     """Stripped, runs of white space as one space, quotation marks at the ends left out first."""
-    bare = F.regexp_replace(strip(c), r"\A[\"']+|[\"']+\z", "")
-    return F.regexp_replace(bare, rf"[{SPACE}]+", " ")
+    return _single_spaced(_trim(strip(c), "\"'"))
 
 
 def slug(c: Column) -> Column:
     """A key of lower-case letters and digits with single hyphens; schemes of addresses are left out."""
-    low = F.regexp_replace(F.lower(collapse(c)), "https?://", "")
-    return F.regexp_replace(F.regexp_replace(low, "[^a-z0-9]+", "-"), r"\A-+|-+\z", "")
+    low = F.lower(collapse(c))
+    bare = F.when(F.contains(low, F.lit("://")), F.regexp_replace(low, "https?://", "")).otherwise(low)
+    return _trim(F.regexp_replace(bare, "[^a-z0-9]+", "-"), "-")
 
 
 def snake(c: Column) -> Column:
@@ -79,9 +91,7 @@ def snake(c: Column) -> Column:
 
 def duplicate_key(c: Column) -> Column:
     """Lower case, single spaces, no punctuation or space at the ends: equal for texts that say the same."""
-    low = F.regexp_replace(F.lower(c), rf"[{SPACE}]+", " ")
-    edge = r"[!-/:-@\[-`{-~ \t\r\n]"
-    return F.regexp_replace(low, rf"\A{edge}+|{edge}+\z", "")
+    return _trim(_single_spaced(F.lower(c)), string.punctuation + " \t\r\n")
 
 
 def safe_label(c: Column, ascii_only: bool = False) -> Column:
