@@ -136,6 +136,7 @@ class Languages(dict):
     def __init__(self, table: np.ndarray):
         super().__init__()
         self.table = table
+        self.tasks: dict[str, int] = {}
         self._grow(4096)
 
     def _grow(self, n: int) -> None:
@@ -162,6 +163,8 @@ class Languages(dict):
     def trim(self) -> None:
         if len(self) > self.HELD:
             self.clear()
+        if len(self.tasks) > self.HELD // 20:
+            self.tasks.clear()
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
@@ -180,11 +183,12 @@ class Languages(dict):
 
     def asked(self, prompt: str) -> int:
         """The language that a prompt asks for or, if it names none, its task is written in, then its whole text; -1 if unknown."""
-        task = WORDS.findall(TASK_END.split(prompt, maxsplit=1)[0].lower())
-        for i in range(len(task) - 1, 0, -1):
-            if task[i] in _NAMED and task[i - 1] in ASKING:
-                return _NAMED[task[i]]
-        found = self.of(task)
+        said = TASK_END.split(prompt, maxsplit=1)[0]
+        if said not in self.tasks:
+            task = WORDS.findall(said.lower())
+            named = [_NAMED[b] for a, b in zip(task, task[1:]) if b in _NAMED and a in ASKING]
+            self.tasks[said] = named[-1] if named else self.of(task)
+        found = self.tasks[said]
         return found if found >= 0 else self.of(WORDS.findall(prompt.lower()))
 
     @classmethod

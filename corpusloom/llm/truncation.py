@@ -85,9 +85,9 @@ def _is_json(body: str) -> bool:
     return head.startswith(("{", "[{", '["')) or re.match(r"```(?:json)?\s*[{\[]", head) is not None
 
 
-def _tokens(body: str) -> list[str]:
+def _tokens(body: str, is_json: bool | None = None) -> list[str]:
     """The words of a value, the last of a line with a sign; without signs after the last word."""
-    if _is_json(body):
+    if _is_json(body) if is_json is None else is_json:
         body = _BEFORE_STRING.sub(" ", body.replace("\\n", "\n"))
     words = body.replace("\n", _NEWLINE + " ").split()
     while words and not _word(words[-1]):
@@ -107,7 +107,12 @@ def _never_closed(body: str) -> bool:
 def open_end(value: str) -> tuple[str, str, str] | None:
     """What _end() says of a value."""
     body, lost = _body(value)
-    return _end(body, lost, _tokens(body))
+    is_json = _is_json(body)
+    if not lost and not is_json and _CLOSED.search(body[-8:]) or is_json and not _never_closed(body):
+        return None
+    # The last two words are all that is asked about.
+    words = _tokens(body[-600:], is_json)
+    return _end(body, lost, words if len(words) > 2 else _tokens(body, is_json))
 
 
 def _end(body: str, lost: bool, words: list[str]) -> tuple[str, str, str] | None:
