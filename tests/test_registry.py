@@ -21,7 +21,7 @@ def test_entry(spark):
     assert 0 < len(rows) <= 24 and len({r.position for r in rows}) == len(rows)
 
 
-@pytest.mark.parametrize("name", ["q_snippet_score", "q_chunk_pack", "q_heading_ancestry", "q_extract_dedupe_run", "q_timing_compare", "q_concurrency_gauge", "q_verify_drop_reasons"])
+@pytest.mark.parametrize("name", ["q_snippet_score", "q_chunk_pack", "q_heading_ancestry", "q_extract_dedupe_run", "q_timing_compare", "q_concurrency_gauge", "q_verify_drop_reasons", "q_glob", "q_attr_map", "q_contracts", "q_snippet_pack", "q_token_chunks", "q_plan_chunks", "q_reduce_batches"])
 def test_sql_agrees(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
